@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groupwise.llm import bpe, language, packing, sharding, token_output, topk, url_filter
+from groupwise.llm import bpe, jaccard_join, language, packing, sharding, token_output, topk, url_filter
 from groupwise.llm.common import fresh_path
 from groupwise.llm.tokens import default_vocabulary
 
@@ -45,8 +45,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), default_vocabulary(), end_id=1, capacity=2048)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(_table(spark, sf_dir, "documents"), words=3, num=9, den=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filter, op2_topk, op4_bpe, op6_sharding, op7_token_output, op8_language, op9_packing]
+    found = [op1_url_filter, op2_topk, op4_bpe, op6_sharding, op7_token_output, op8_language, op9_packing, op10_jaccard_join]
     return {f.__name__: f for f in found}
 
 
