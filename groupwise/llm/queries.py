@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groupwise.llm import bpe, jaccard_join, language, packing, sharding, token_output, topk, url_filter
+from groupwise.llm import bpe, jaccard_join, language, packing, sharding, token_output, topk, url_filter, vector_dedup
 from groupwise.llm.common import fresh_path
 from groupwise.llm.tokens import default_vocabulary
 
@@ -27,6 +27,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), default_vocabulary())
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), limit=0.98)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=8)
 
@@ -50,7 +54,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filter, op2_topk, op4_bpe, op6_sharding, op7_token_output, op8_language, op9_packing, op10_jaccard_join]
+    found = [op1_url_filter, op2_topk, op4_bpe, op5_vector_dedup, op6_sharding, op7_token_output, op8_language, op9_packing, op10_jaccard_join]
     return {f.__name__: f for f in found}
 
 
