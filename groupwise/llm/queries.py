@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groupwise.llm import bpe, jaccard_join, language, packing, sharding, token_output, topk, url_filter, vector_dedup
+from groupwise.llm import bpe, jaccard_join, language, packing, sharding, suffix_dedup, token_output, topk, url_filter, vector_dedup
 from groupwise.llm.common import fresh_path
 from groupwise.llm.tokens import default_vocabulary
 
@@ -23,6 +23,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), k=5, query_every=50, scale=256)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"), width=50)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), default_vocabulary())
 
@@ -54,7 +58,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filter, op2_topk, op4_bpe, op5_vector_dedup, op6_sharding, op7_token_output, op8_language, op9_packing, op10_jaccard_join]
+    found = [op1_url_filter, op2_topk, op3_suffix_dedup, op4_bpe, op5_vector_dedup, op6_sharding, op7_token_output, op8_language, op9_packing, op10_jaccard_join]
     return {f.__name__: f for f in found}
 
 
