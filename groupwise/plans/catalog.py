@@ -88,7 +88,7 @@ _reduction("group_mean", _lines, FLAGS, LINES, "round(avg(q), 6) AS m", m=g.mean
 _reduction("group_var", _lines, FLAGS, LINES, "round(var_samp(q), 6) AS x", x=g.var("q"))
 _reduction("group_std", _lines, FLAGS, LINES, "round(stddev_samp(q), 6) AS x", x=g.std("q"))
 _reduction("group_sem", _lines, FLAGS, LINES, "round(stddev_samp(q) / sqrt(count(q)), 6) AS x", x=g.sem("q"))
-_reduction("group_var_ddof0", _orders, ["o_custkey"], "orders", "round(var_pop(o_totalprice), 2) AS x", digits=2, x=g.var("o_totalprice", ddof=0))
+_reduction("group_var_ddof0", _orders, ["o_custkey"], "orders", "round(var_pop(o_totalprice), -3) AS x", digits=-3, x=g.var("o_totalprice", ddof=0))
 _reduction("group_var_ddof2", _events, ["user_id"], EVENTS, "CASE WHEN count(v) > 2 THEN round(var_pop(v) * count(v) / (count(v) - 2), 4) END AS x", digits=4, x=g.var("v", ddof=2))
 _reduction("group_skew", _events, ["event_type"], EVENTS, "CASE WHEN count(v) < 3 THEN NULL WHEN var_pop(v) = 0 THEN 0 ELSE round(skewness(v), 6) END AS x", x=g.skew("v"))
 _reduction("group_skew_noskipna", _events, ["user_id"], EVENTS, "CASE WHEN count(v) < count(*) OR count(v) < 3 THEN NULL WHEN var_pop(v) = 0 THEN 0 ELSE round(skewness(v), 6) END AS x", x=g.skew("v", skipna=False))
