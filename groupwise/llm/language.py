@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 BINS = 1 << 13
 PER_LANGUAGE, MAX_LANGUAGES = 400, 200
+SALTS = 32
 SMOOTHING = 0.2
 ROUNDS = 8
 #: Weight of log(n) that a further language must gain in log-likelihood.
@@ -97,9 +98,14 @@ def infer(docs: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray) -> tuple
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and their BINS x languages table of probabilities, from a bounded labelled sample."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    first = [F.xxhash64("id"), F.col("id")]
+    within, over = Window.partitionBy("lang", "salt").orderBy(*first), Window.partitionBy("lang").orderBy(*first)
     usable = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where((F.pmod(F.crc32(F.col("id").cast("string")), F.lit(3)) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = usable.select("id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE).select("id").distinct()
+    # in two steps, as one language may hold most rows
+    ids = usable.select("id", "lang", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).alias("salt"))
+    for w in (within, over):
+        ids = ids.withColumn("k", F.row_number().over(w)).where(F.col("k") <= PER_LANGUAGE).drop("k")
+    ids = ids.select("id").distinct()
     ids = ids.limit(PER_LANGUAGE * MAX_LANGUAGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
