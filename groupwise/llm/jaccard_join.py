@@ -35,6 +35,8 @@ from groupwise.llm.common import components, discard, materialise
 from groupwise.llm.shingles import U64, mix, set_hash, shingle_sets
 
 BLOCK = 256
+#: Signatures that a task holds at once.
+HELD = 1 << 20
 FILTER_BITS = 1 << 24
 
 
@@ -135,28 +137,34 @@ def _stars(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(a, b): rows that share a signature are connected through the smallest id that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, owners, seen, size = [], [], set(), 0  # equal sets among those held are one
         for b, sets in _text_batches(batches, words):
-            sigs, owners, seen = [], [], set()  # equal sets of a batch are one
             for doc_id, s in zip(b.column(0).to_pylist(), sets, strict=True):
                 if doc_id is None or not len(s) or (name := set_hash(s)) in seen:
                     continue
                 seen.add(name)
                 sigs.append(signatures(s, num, den))
                 owners.append(np.full(len(sigs[-1]), doc_id, np.int64))
-            if not sigs:
-                continue
-            sig, owner = np.concatenate(sigs).view(np.int64), np.concatenate(owners)
-            order = np.lexsort((owner, sig))
-            sig, owner = sig[order], owner[order]
-            first = np.append(True, sig[1:] != sig[:-1])
-            least = owner[first][np.cumsum(first) - 1]
-            pairs = np.unique(np.stack([owner[~first], least[~first]], 1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            keep = np.flatnonzero(first)
-            for at in range(0, len(keep), 1 << 18):
-                some = keep[at : at + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[some]), pa.array(owner[some]), pa.nulls(len(some), pa.int64())], ["sig", "a", "b"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["sig", "a", "b"])
+                size += len(sigs[-1])
+                if size >= HELD:
+                    yield from settle(sigs, owners)
+                    sigs, owners, seen, size = [], [], set(), 0
+        if sigs:
+            yield from settle(sigs, owners)
+
+    def settle(sigs: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        sig, owner = np.concatenate(sigs).view(np.int64), np.concatenate(owners)
+        order = np.lexsort((owner, sig))
+        sig, owner = sig[order], owner[order]
+        first = np.append(True, sig[1:] != sig[:-1])
+        least = owner[first][np.cumsum(first) - 1]
+        pairs = np.unique(np.stack([owner[~first], least[~first]], 1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        keep = np.flatnonzero(first)
+        for at in range(0, len(keep), 1 << 17):
+            some = keep[at : at + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(sig[some]), pa.array(owner[some]), pa.nulls(len(some), pa.int64())], ["sig", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["sig", "a", "b"])
 
     rows = docs.mapInArrow(run, "sig long, a long, b long")
     # links found within a task pass with a signature of their own: one shuffle serves both
