@@ -8,20 +8,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SAMPLE_ROWS = 4096
+
+
+def _range_bounds(df: DataFrame, cols: list[str], parts: int) -> list[Column]:
+    """Order values that cut the rows into about `parts` even ranges, from a sample of bounded size.
+
+    The bounds are literals, so the range of a row is the same wherever it is computed.
+    """
+    sample = df.select(*cols).orderBy(F.xxhash64(*cols)).limit(SAMPLE_ROWS).orderBy(*cols).collect()
+    step = max(1, len(sample) // parts)
+    return [F.struct(*[F.lit(r[c]).cast(df.schema[c].dataType).alias(c) for c in cols]) for r in sample[step::step]][: parts - 1]
+
+
 def with_positions(df: DataFrame, order_by: str | Sequence[str], name: str = "pos") -> DataFrame:
     """df with dense positions from 0 in a total order.
 
-    Sorting into ranges and counting each partition first keeps the numbering distributed: only
-    one count per partition takes part in the running sum.
+    Rows are numbered within ranges of the order and shifted by the counts of the earlier ranges,
+    so no task sorts more than a range; what is broadcast is one row per range.
     """
     cols = [order_by] if isinstance(order_by, str) else list(order_by)
-    ranged = df.repartitionByRange(*cols).withColumn("__part", F.spark_partition_id())
-    within = Window.partitionBy("__part").orderBy(*cols)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = _range_bounds(df, cols, parts)
+    own = F.struct(*cols)
+    part = F.size(F.filter(F.array(*bounds), lambda b: b <= own)) if bounds else F.lit(0)
+    ranged = df.withColumn("__part", part)
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
-    numbered = ranged.withColumn("__row", F.row_number().over(within))
-    return numbered.join(base, "__part").withColumn(name, F.col("__base") + F.col("__row") - 1).drop("__part", "__row", "__base", "__n")
+    base = F.broadcast(counts.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base")))  # a row per range
+    row = F.row_number().over(Window.partitionBy("__part").orderBy(*cols))
+    numbered = ranged.withColumn("__row", row).join(base, "__part")
+    return numbered.withColumn(name, F.col("__base") + F.col("__row") - 1).select(*df.columns, name)
 
 
 def take(source: DataFrame, index: DataFrame, position: str = "pos", index_col: str = "ix", fill: object = None, missing: str = "null") -> DataFrame:

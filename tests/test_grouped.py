@@ -105,6 +105,15 @@ def test_take(spark):
         g.take_columns(wide, [3])
     numbered = g.with_positions(spark.range(1000).repartition(7).withColumnRenamed("id", "x"), "x")
     assert numbered.where("x <> pos").count() == 0 and numbered.count() == 1000
+    two = spark.range(500).selectExpr("cast(id % 7 as string) as a", "if(id % 5 = 0, null, id) as b", "id")
+    got = [r["id"] for r in g.with_positions(two, ["a", "b", "id"]).orderBy("pos").collect()]
+    assert got == [r["id"] for r in two.orderBy("a", "b", "id").collect()]
+    assert g.with_positions(two.where("id < 0"), "id").count() == 0
+
+
+def test_ranked_reductions_need_one_exchange(na):
+    df = g.grouped(na, "k", "id").agg(q=g.quantile("v", 0.3, "lower"), n=g.nth("v", 2), s=g.sum_("v"), f=g.first("v"))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
 def random_frame(seed, n=400):
