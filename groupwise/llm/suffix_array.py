@@ -16,20 +16,23 @@ import numpy as np
 def _smaller(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the last (the sentinel) counts as smaller."""
     n = len(t)
-    step = np.sign(np.diff(t))
-    at = np.where(step != 0, np.arange(n - 1), n)
-    following = np.minimum.accumulate(at[::-1])[::-1]
-    return np.append(step[np.minimum(following, n - 2)] > 0, True)
+    less = t[:-1] < t[1:]
+    differ = np.flatnonzero(less | (t[:-1] > t[1:]))  # the last step always is one
+    return np.append(np.repeat(less[differ], np.diff(np.append(-1, differ))), True)
 
 
-def _grouped(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stable order by symbol, rank within the symbol, the distinct symbols and their counts."""
-    order = np.argsort(symbols, kind="stable")
+def _place(sa: np.ndarray, suffixes: np.ndarray, symbols: np.ndarray, free: np.ndarray, step: int) -> None:
+    """Put suffixes, in order, into the next free slots of their symbols, counting by step."""
+    order = symbols.argsort(kind="stable")
     s = symbols[order]
-    first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    count = np.diff(np.append(first, len(s)))
-    rank = np.arange(len(s)) - np.repeat(first, count)
-    return order, rank, s[first], count
+    first = np.empty(len(s), bool)
+    first[0] = True
+    np.not_equal(s[1:], s[:-1], out=first[1:])
+    begin = first.nonzero()[0]
+    rank = np.arange(len(s)) - begin[first.cumsum() - 1]
+    slot = free[s] + rank * step
+    sa[slot] = suffixes[order]
+    free[s] = slot + step  # of equal symbols the last one counts
 
 
 def _induce(t: np.ndarray, smaller: np.ndarray, counts: np.ndarray, larger_counts: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -37,21 +40,19 @@ def _induce(t: np.ndarray, smaller: np.ndarray, counts: np.ndarray, larger_count
     n = len(t)
     ends = np.cumsum(counts)
     starts = ends - counts
-    sa = np.full(n, -1, np.int64)
-    order, rank, symbols, count = _grouped(t[seeds])
-    sa[np.repeat(ends[symbols] - count, count) + rank] = seeds[order]
-
-    slot_larger = np.zeros(n + 1, np.int8)
-    np.add.at(slot_larger, starts, 1)
-    np.add.at(slot_larger, starts + larger_counts, -1)
-    slot_larger = np.cumsum(slot_larger[:n], dtype=np.int8).astype(bool)
-
+    slot_larger = np.repeat(np.tile([True, False], len(counts)), np.stack([larger_counts, counts - larger_counts], 1).ravel())
+    # -1: still to be filled; -2: empty in this scan
+    sa = np.where(slot_larger, -1, -2).astype(np.int32)
+    _place(sa, seeds[::-1], t[seeds[::-1]], ends - 1, -1)
+
+    # does a suffix have a larger (or smaller) one to its left? Entry n stands for -2
+    follows = np.zeros(n + 2, bool)
+    np.logical_not(smaller[:-1], out=follows[1:n])
     head, a, width = starts.copy(), 0, 256
     while a < n:
-        b, span = n, width
-        at = a
+        b, at, span = n, a, width
         while at < n:
-            gap = slot_larger[at : at + span] & (sa[at : at + span] < 0)
+            gap = sa[at : at + span] == -1
             k = int(gap.argmax())
             if gap[k]:
                 b = at + k
@@ -59,23 +60,20 @@ def _induce(t: np.ndarray, smaller: np.ndarray, counts: np.ndarray, larger_count
             at += span
             span *= 2
         j = sa[a:b]
-        j = j[j > 0] - 1
-        j = j[~smaller[j]]
+        j = j[follows[j]] - 1
         if len(j):
-            order, rank, symbols, count = _grouped(t[j])
-            sa[np.repeat(head[symbols], count) + rank] = j[order]
-            head[symbols] += count
+            _place(sa, j, t[j], head, 1)
         width, a = max(64, min(2 * (b - a), 1 << 16)), b
 
     sa[~slot_larger] = -1
     sa[0] = n - 1
+    follows[1:n] = smaller[:-1]
     tail, b, width = ends - 1, n, 256
     while b > 0:
-        a, span = -1, width
-        at = b
+        a, at, span = -1, b, width
         while at > 0:
             low = max(0, at - span)
-            gap = (~slot_larger[low:at] & (sa[low:at] < 0))[::-1]
+            gap = sa[low:at][::-1] == -1
             k = int(gap.argmax())
             if gap[k]:
                 a = at - 1 - k
@@ -83,19 +81,16 @@ def _induce(t: np.ndarray, smaller: np.ndarray, counts: np.ndarray, larger_count
             at = low
             span *= 2
         j = sa[a + 1 : b][::-1]
-        j = j[j > 0] - 1
-        j = j[smaller[j]]
+        j = j[follows[j]] - 1
         if len(j):
-            order, rank, symbols, count = _grouped(t[j])
-            sa[np.repeat(tail[symbols], count) - rank] = j[order]
-            tail[symbols] -= count
+            _place(sa, j, t[j], tail, -1)
         width, b = max(64, min(2 * (b - a), 1 << 16)), a + 1
     return sa
 
 
 def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
     """Rank of each leftmost-smaller substring, in text order; equal ones share a rank."""
-    length = np.zeros(len(t), np.int64)
+    length = np.zeros(len(t), np.int32)
     length[lms] = np.append(np.diff(lms), 0) + 1
     p, q = ordered[:-1], ordered[1:]
     same = length[p] == length[q]
@@ -108,20 +103,22 @@ def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndar
         active = active[equal]
         active = active[length[p[active]] > k]
     rank = np.append(0, np.cumsum(~same))
-    out = np.zeros(len(t), np.int64)
+    out = np.zeros(len(t), np.int32)
     out[ordered] = rank
     return out[lms], int(rank[-1]) + 1
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffix array of non-negative integers whose last one is 0 and occurs nowhere else."""
+    """Suffix array (32-bit) of non-negative integers whose last one is 0 and occurs nowhere else."""
     n = len(t)
     if n < 2:
-        return np.zeros(n, np.int64)
+        return np.zeros(n, np.int32)
+    if t.dtype.itemsize > 2 and t.max() < 1 << 16:
+        t = t.astype(np.uint16)  # NumPy sorts short integers by radix
     smaller = _smaller(t)
     counts = np.bincount(t)
     larger_counts = np.bincount(t[~smaller], minlength=len(counts))
-    lms = np.flatnonzero(smaller & np.append(False, ~smaller[:-1]))
+    lms = np.flatnonzero(smaller & np.append(False, ~smaller[:-1])).astype(np.int32)
     sa = _induce(t, smaller, counts, larger_counts, lms)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True

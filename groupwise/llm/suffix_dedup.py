@@ -4,15 +4,17 @@ A byte is removed if a WIDTH-byte string over it also starts in a document with
 Every such string (window) is named by its minimiser, the least hash of the GRAM-byte strings in
 it, so equal windows of any documents have one name. The steps:
 
-1. names held by two documents or more are found (one row per document and name);
-2. documents are cut into segments, the runs of windows that share such a name; equal segments
-   are one from here on, with the smallest document that has them;
+1. names held by two different texts or more are found (one row per text and name);
+2. of equal texts the one with the smallest id is cut into segments, the runs of windows that
+   share such a name; equal segments are one, with the smallest document that has them;
 3. segments are dealt to shards by name (names with very many segments by a finer minimiser as
-   well), and each shard's suffix array is built by induced sorting; permuted common prefixes of
-   WIDTH or more join equal windows, and each window learns the smallest document that has it;
+   well), and the suffix array of many shards at a time is built by induced sorting; permuted
+   common prefixes of WIDTH or more join equal windows, and each window learns the smallest
+   document that has it (a shard of one segment has nothing to compare);
 4. documents take back the windows that a smaller document has, merge them to spans, and drop them.
 
-Each row is bounded by a document or a segment; shards are cut at SHARD_BYTES. Hot names are
+Each row is bounded by a document or a segment; a suffix array covers about SHARD_BYTES. Texts and
+segments are told apart by 64-bit hashes where they are joined. Hot names are
 pre-aggregated within each task before the shuffle. Intermediate tables are written to the shared
 folder, so a lost executor repeats one step only.
 
@@ -37,6 +39,8 @@ from groupwise.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 GRAM, FINE_GRAM = 16, 40
 SHARD_BYTES = 1_500_000
+#: Bytes of texts that are named at once.
+CHUNK = 1 << 18
 #: Windows of a segment, and segments of a name from which on the finer minimiser is used.
 SEGMENT_WINDOWS, MANY_SEGMENTS = 256, 10_000
 
@@ -46,10 +50,10 @@ def window_names(raw: np.ndarray, width: int, gram: int) -> np.ndarray:
     n, count = len(raw), len(raw) - width + 1
     if count <= 0:
         return np.empty(0, U64)
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    words = np.zeros(n, U64)
+    padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+    words = np.empty((n + 7) // 8 * 8, U64)  # eight bytes from each position
     for k in range(8):
-        words |= padded[k : k + n].astype(U64) << U64(8 * k)
+        words[k::8] = np.frombuffer(padded, "<u8", len(words) // 8, k)
     with np.errstate(over="ignore"):
         h = mix(words[: n - gram + 1])
         for at in range(8, gram - 7, 8):
@@ -60,6 +64,32 @@ def window_names(raw: np.ndarray, width: int, gram: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (span - s)], h[span - s :]) if s < span else h
 
 
+def named_runs(texts: list[bytes], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, text, start, windows, name) of the runs of equally named windows, chunk by chunk.
+
+    Texts are joined up to CHUNK bytes and named together; windows across two texts are left out.
+    """
+    at = 0
+    while at < len(texts):
+        last, size = at + 1, len(texts[at])
+        while last < len(texts) and size + len(texts[last]) <= CHUNK:
+            size += len(texts[last])
+            last += 1
+        sizes = np.array([len(t) for t in texts[at:last]])
+        begins = np.cumsum(sizes) - sizes
+        name = window_names(np.frombuffer(b"".join(texts[at:last]), np.uint8), width, GRAM)
+        windows = np.maximum(sizes - width + 1, 0)
+        some = np.flatnonzero(windows)
+        if len(some):
+            place = np.arange(windows.sum()) + np.repeat((begins - np.cumsum(windows) + windows)[some], windows[some])
+            own, name = np.repeat(some, windows[some]), name[place]
+            change = np.append(True, (name[1:] != name[:-1]) | (own[1:] != own[:-1]))
+            label = np.cumsum(change)
+            start, length = runs(label, SEGMENT_WINDOWS)
+            yield at, own[start], place[start] - begins[own[start]], length, name[start]
+        at = last
+
+
 def runs(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, length) of the runs of equal values, cut at `most`."""
     start = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
@@ -70,70 +100,97 @@ def runs(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared_names(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, names) of the documents with windows named like a window of another document."""
+    """(text_hash, names) of the texts with windows named like a window of another text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            hashes, at = np.unique(b.column(0).to_numpy(), return_index=True)  # equal texts are one
+            texts = [(b.column(1)[k].as_py() or "").encode() for k in at.tolist()]
             names, owners = [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found = np.unique(window_names(np.frombuffer((text.as_py() or "").encode(), np.uint8), width, GRAM))
-                names.append(found)
-                owners.append(np.full(len(found), doc_id, np.int64))
+            for first, own, _, _, name in named_runs(texts, width):
+                names.append(name)
+                owners.append(own + first)
+            if not names:
+                continue
             name, owner = np.concatenate(names).view(np.int64), np.concatenate(owners)
             order = np.lexsort((owner, name))
             name, owner = name[order], owner[order]
-            first = np.append(True, name[1:] != name[:-1])[: len(name)]
+            first = np.append(True, name[1:] != name[:-1])
+            row = np.append(True, (name[1:] != name[:-1]) | (owner[1:] != owner[:-1]))
             group = np.cumsum(first) - 1
-            last = owner[np.append(np.flatnonzero(first)[1:], len(name)) - 1] if len(name) else owner
-            several = (last != owner[first])[group] if len(name) else first
+            several = (np.add.reduceat(row.astype(np.int64), np.flatnonzero(first)) > 1)[group]
             # one row stands for a name in this batch; the others' answer is known already
-            known = ~first & several
-            for kind, some in ((False, np.flatnonzero(first)), (True, np.flatnonzero(known))):
-                for at in range(0, len(some), 1 << 18):
-                    k = some[at : at + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(name[k]), pa.array(owner[k]), pa.array(several[k]), pa.array(np.full(len(k), kind))], ["name", "doc_id", "several", "known"])
-
-    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "name long, doc_id long, several boolean, known boolean")
-    key = F.when(F.col("known"), F.xxhash64("name", "doc_id")).otherwise(F.col("name"))
-    rows = rows.withColumn("key", key)
+            for kind, some in ((False, np.flatnonzero(first)), (True, np.flatnonzero(row & ~first))):
+                for k in range(0, len(some), 1 << 17):
+                    part = some[k : k + (1 << 17)]
+                    yield pa.RecordBatch.from_arrays([pa.array(name[part]), pa.array(hashes[owner[part]]), pa.array(several[part]), pa.array(np.full(len(part), kind))], ["name", "text_hash", "several", "known"])
+
+    rows = docs.where("doc_id is not null and text is not null").select("text_hash", "text").mapInArrow(run, "name long, text_hash long, several boolean, known boolean")
+    # names known to be shared pass with keys of their own, so that a hot name is not one group
+    rows = rows.withColumn("key", F.when(F.col("known"), F.xxhash64("name", "text_hash")).otherwise(F.col("name")))
     same = Window.partitionBy("key", "known")
-    rows = rows.withColumn("shared", F.max("several").over(same) | (F.min("doc_id").over(same) != F.max("doc_id").over(same)))
-    return rows.where("shared").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
+    rows = rows.withColumn("shared", F.max("several").over(same) | (F.min("text_hash").over(same) != F.max("text_hash").over(same)))
+    return rows.where("shared").groupBy("text_hash").agg(F.collect_set("name").alias("names"))
 
 
 def _segments(docs: DataFrame, shared: DataFrame, width: int) -> DataFrame:
-    """(name, segment, seg_hash, doc_id, text_hash, start) of every run of shared windows."""
+    """A row for every run of shared windows: (name, seg_hash, doc_id, text_hash, start).
+
+    The first row of a segment in a batch has its bytes and the batch's smallest document with it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            size = 0
-            for doc_id, text_hash, text, shared_names in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                raw = text.as_py().encode()
-                names = window_names(np.frombuffer(raw, np.uint8), width, GRAM)
-                if not len(names):
-                    continue
-                hit = np.isin(names, shared_names.values.to_numpy().view(U64))
-                start, length = runs(names, SEGMENT_WINDOWS)
-                some = hit[start]
-                for name, s, n in zip(names[start[some]].view(np.int64).tolist(), start[some].tolist(), length[some].tolist(), strict=True):
-                    piece = raw[s : s + n + width - 1]
-                    size += len(piece)
-                    for column, value in zip(out, (name, piece, doc_id, text_hash, s), strict=True):
-                        column.append(value)
-                if size > 1 << 24:
-                    yield batch(out)
-                    out, size = [[], [], [], [], []], 0
-            if size:
-                yield batch(out)
-
-    def batch(out):
-        types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["name", "segment", "doc_id", "text_hash", "start"])
-
-    joined = docs.where("text is not null").join(shared, "doc_id").select("doc_id", "text_hash", "text", "names")
-    found = joined.mapInArrow(run, "name long, segment binary, doc_id long, text_hash long, start long")
-    return found.withColumn("seg_hash", F.xxhash64("segment"))
+            texts = [t.as_py().encode() for t in b.column(2)]
+            ids, lists = b.column(0).to_numpy(), b.column(3)
+            known = lists.flatten().to_numpy().view(U64)
+            of = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.lexsort((known, of))
+            known, of = known[order], of[order]
+            bounds = np.searchsorted(of, np.arange(len(texts) + 1))
+            table: dict[bytes, int] = {}
+            pieces: list[bytes] = []
+            least: list[int] = []
+            columns: list[list] = [[], [], [], []]
+            for first, own, start, length, name in named_runs(texts, width):
+                own = own + first
+                hit = np.zeros(len(own), bool)
+                for k in np.unique(own).tolist():
+                    mine = slice(*np.searchsorted(own, [k, k + 1]))
+                    there = known[bounds[k] : bounds[k + 1]]
+                    at = np.searchsorted(there, name[mine])
+                    hit[mine] = there[np.minimum(at, len(there) - 1)] == name[mine]
+                own, start, length, name = own[hit], start[hit], length[hit], name[hit]
+                number = []
+                for k, s, e in zip(own.tolist(), start.tolist(), (start + length + width - 1).tolist(), strict=True):
+                    piece = texts[k][s:e]
+                    n = table.setdefault(piece, len(pieces))
+                    if n == len(pieces):
+                        pieces.append(piece)
+                        least.append(ids[k])
+                    elif ids[k] < least[n]:
+                        least[n] = ids[k]
+                    number.append(n)
+                for c, x in zip(columns, (name.view(np.int64), own, start, np.array(number, np.int64)), strict=True):
+                    c.append(x)
+            if not pieces:
+                continue
+            name, own, start, number = map(np.concatenate, columns)
+            _, lead = np.unique(number, return_index=True)
+            bytes_of, owner = np.full(len(number), None, object), np.full(len(number), None, object)
+            bytes_of[lead], owner[lead] = pieces, least
+            # digests of eight bytes join the rows of a segment to what is found for it
+            seg_hash = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=8).digest() for p in pieces), np.int64)[number]
+            hashes = b.column(1).to_numpy()[own]
+            for k in range(0, len(number), 1 << 17):
+                p = slice(k, k + (1 << 17))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x[p]) for x in (name, seg_hash, ids[own], hashes, start)] + [pa.array(bytes_of[p], pa.binary()), pa.array(owner[p], pa.int64())],
+                    ["name", "seg_hash", "doc_id", "text_hash", "start", "segment", "owner"],
+                )
+
+    joined = docs.where("text is not null").join(shared, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "names")
+    return joined.mapInArrow(run, "name long, seg_hash long, doc_id long, text_hash long, start long, segment binary, owner long")
 
 
 def shard_first_documents(segments: list[bytes], owners: np.ndarray, width: int) -> list[np.ndarray]:
@@ -162,8 +219,8 @@ def shard_first_documents(segments: list[bytes], owners: np.ndarray, width: int)
 
 def _first_documents(segments: DataFrame, width: int) -> DataFrame:
     """(name, seg_hash, at, windows, first): the smallest document of runs of a segment's windows."""
-    distinct = segments.groupBy("name", "seg_hash", "segment").agg(F.min("doc_id").alias("owner"))
-    many = segments.select("name", "seg_hash").distinct().groupBy("name").count().where(F.col("count") > MANY_SEGMENTS).select("name", F.lit(True).alias("many"))
+    pieces = segments.where("segment is not null").select("name", "seg_hash", "segment", "owner")
+    many = pieces.groupBy("name").count().where(F.col("count") > MANY_SEGMENTS).select("name", F.lit(True).alias("many"))
 
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,29 +236,59 @@ def _first_documents(segments: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["shard", "name", "seg_hash", "at", "segment", "owner"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple] = []  # distinct segments of whole shards, each with its smallest owner
+        group: dict[tuple, int] = {}
+        lone: list[tuple] = []
         size, shard = 0, None
+
+        def close_group():
+            """A shard's segments go to the suffix array, but for a segment without any other."""
+            nonlocal size
+            rows = [(*key, owner) for key, owner in group.items()]
+            group.clear()
+            if len(rows) == 1:
+                lone.append(rows[0])
+            else:
+                held.extend(rows)
+                size += sum(len(r[3]) for r in rows)
+
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= SHARD_BYTES and row[0] != shard:
-                    yield settle(held)
-                    held, size = [], 0
-                shard = row[0]
-                held.append(row)
-                size += len(row[4])
+            for s, name, seg_hash, at, segment, owner in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if s != shard:
+                    close_group() if group else None
+                    shard = s
+                    if size >= SHARD_BYTES:
+                        yield settle(held)
+                        held, size = [], 0
+                    if len(lone) >= 100_000:
+                        yield alone(lone)
+                        lone = []
+                key = (name, seg_hash, at, segment)
+                group[key] = min(owner, group.get(key, owner))
+        if group:
+            close_group()
         if held:
             yield settle(held)
+        if lone:
+            yield alone(lone)
+
+    names = ["name", "seg_hash", "at", "windows", "first"]
+
+    def alone(lone: list[tuple]) -> pa.RecordBatch:
+        rows = [(name, seg_hash, at, len(segment) - width + 1, owner) for name, seg_hash, at, segment, owner in lone]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
     def settle(held: list[tuple]) -> pa.RecordBatch:
-        firsts = shard_first_documents([h[4] for h in held], np.array([h[5] for h in held], np.int64), width)
-        rows: list[list] = [[], [], [], [], []]
-        for h, first in zip(held, firsts, strict=True):
-            start, length = runs(first, 1 << 40)
-            for column, value in zip(rows, ([h[1]] * len(start), [h[2]] * len(start), (start + h[3]).tolist(), length.tolist(), first[start].tolist()), strict=True):
-                column += value
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["name", "seg_hash", "at", "windows", "first"])
-
-    marked = distinct.join(many, "name", "left").select("name", "seg_hash", "segment", "owner", "many")
+        firsts = shard_first_documents([h[3] for h in held], np.array([h[4] for h in held], np.int64), width)
+        first = np.concatenate(firsts)
+        own = np.repeat(np.arange(len(held)), [len(f) for f in firsts])
+        at = np.concatenate([np.arange(len(f)) for f in firsts])
+        start = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (own[1:] != own[:-1])))
+        name, seg_hash, offset = (np.array([h[k] for h in held], np.int64)[own[start]] for k in range(3))
+        length = np.diff(np.append(start, len(first)))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (name, seg_hash, offset + at[start], length, first[start])], names)
+
+    marked = pieces.join(many, "name", "left").select("name", "seg_hash", "segment", "owner", "many")
     dealt = marked.mapInArrow(finer, "shard long, name long, seg_hash long, at long, segment binary, owner long")
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "name long, seg_hash long, at long, windows long, first long")
 
@@ -218,18 +305,33 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def spans(docs: DataFrame, width: int = 50) -> DataFrame:
-    """(doc_id, text_hash, spans array<struct<a,b>>) for rows (doc_id, text, text_hash) that lose bytes."""
-    shared = materialise(_shared_names(docs, width), "shared")
-    segments = materialise(_segments(docs, shared, width), "segments")
+    """(doc_id, text_hash, spans array<struct<a,b>>, whole) for rows that lose bytes.
+
+    docs: (doc_id, text, text_hash). Of equal texts only the one with the smallest id is cut into
+    segments; the others are `whole`: every window of theirs is in an earlier document.
+    """
+    rows = materialise(docs.where("doc_id is not null").select("doc_id", "text_hash"), "rows")
+    reps = rows.groupBy("text_hash").agg(F.min("doc_id").alias("rep"))
+    names = materialise(_shared_names(docs, width), "names")
+    segments = materialise(_segments(docs, names.join(reps.withColumnRenamed("rep", "doc_id"), "text_hash"), width), "segments")
     first = materialise(_first_documents(segments, width), "first")
     taken = segments.select("name", "seg_hash", "doc_id", "text_hash", "start").join(first, ["name", "seg_hash"]).where("first < doc_id")
     begin = F.col("start") + F.col("at")
     each = taken.select("doc_id", "text_hash", F.struct(begin.alias("a"), (begin + F.col("windows") + width - 1).alias("b")).alias("span"))
-    out = materialise(each.groupBy("doc_id", "text_hash").agg(F.collect_list("span").alias("spans")), "spans")
-    discard(shared, segments, first)
+    found = each.groupBy("doc_id", "text_hash").agg(F.collect_list("span").alias("spans"), F.lit(False).alias("whole"))
+    copies = rows.join(reps, "text_hash").where("doc_id > rep").select("doc_id", "text_hash", F.lit(True).alias("whole")).distinct()
+    out = materialise(found.unionByName(copies, allowMissingColumns=True), "spans")
+    discard(rows, names, segments, first)
     return out
 
 
+def _gone(raw: bytes, found: list[dict] | None, whole: bool | None, width: int) -> list[tuple[int, int]]:
+    """The spans that a row loses."""
+    if whole:
+        return [(0, len(raw))] if len(raw) >= width else []
+    return merged([(s["a"], s["b"]) for s in found or []])
+
+
 def _hashed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     text = F.col(text_col)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), *more)
@@ -238,14 +340,14 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFram
 def digests(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     hashed = _hashed(docs, id_col, text_col)
-    joined = hashed.join(spans(hashed, width), ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans")
+    joined = hashed.join(spans(hashed, width), ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans", "whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc_id, text, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for doc_id, text, found, whole in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 raw, at, kept = (text.as_py() or "").encode(), 0, hashlib.sha256()
-                gone = merged([(s["a"], s["b"]) for s in found or []])
+                gone = _gone(raw, found, whole, width)
                 for a, e in gone:
                     kept.update(raw[at:a])
                     at = e
@@ -262,7 +364,7 @@ def remove(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: s
     A cut that falls inside a UTF-8 character widens to the whole character, so the text stays valid.
     """
     hashed = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
-    found = spans(_hashed(docs, id_col, text_col), width).toDF("__id", "__other", "__spans")
+    found = spans(_hashed(docs, id_col, text_col), width).toDF("__id", "__other", "__spans", "__whole")
     joined = hashed.join(found, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__hash") == F.col("__other")), "left").drop("__id", "__other", "__hash")
     names = docs.columns
     place = names.index(text_col)
@@ -270,16 +372,16 @@ def remove(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, some in zip(b.column(place), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            for text, some, whole in zip(b.column(place), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 text = text.as_py()
-                if some:
+                if text and (some or whole):
                     raw, at, kept = text.encode(), 0, []
-                    for a, e in merged([(s["a"], s["b"]) for s in some]):
+                    for a, e in _gone(raw, some, whole, width):
                         kept.append(raw[at:a])
                         at = e
                     text = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
                 texts.append(text)
-            columns = b.columns[:-1]
+            columns = b.columns[:-2]
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
