@@ -8,11 +8,13 @@ similar sets share one, without exception. (n1 has a few parts more than needed.
 leave out the signatures of choices that are empty in it, which would be shared by all sets: among
 more than `spare` agreeing parts one is not empty. Sets with more empty parts keep theirs.)
 
-Rows with one signature are linked to the smallest of them, first within a task and then over
-all, so that no pairs are listed; connected rows form families. A family's sets are compared in
-blocks, exactly, and each pair of blocks returns a spanning forest of its true links. Families are
-ordered by set size, and block pairs of too different sizes are left out. Equal sets are one node
-from the start.
+Rows with one signature make a bucket. Those of a small bucket are connected where an exact bound
+allows a link: hashed to cells, two sets differ in at least as many elements as the counts of their
+cells do. Rows of a bucket with more than SMALL are connected through the smallest id, first within
+a task and then over all. Neither way lists pairs. Connected rows form families. A family's sets
+are compared in blocks, exactly, and each pair of blocks returns a spanning forest of its true
+links. Families are ordered by set size, and block pairs of too different sizes are left out.
+Equal sets are one node from the start.
 
 Defined results: texts that are null or without words have the empty set and link with nothing;
 rows with a null id link with nothing and keep a null component; rows that repeat an id are one
@@ -35,6 +37,8 @@ from groupwise.llm.common import components, discard, materialise
 from groupwise.llm.shingles import U64, mix, set_hash, shingle_sets
 
 BLOCK = 256
+#: Rows up to which a bucket's members are compared by their cells.
+SMALL = 64
 #: Signatures that a task holds at once.
 HELD = 1 << 20
 FILTER_BITS = 1 << 24
@@ -122,19 +126,56 @@ def _text_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tup
         yield b, shingle_sets((t.as_py() for t in b.column(1)), words)
 
 
+def cell_counts(s: np.ndarray) -> bytes:
+    """How many elements of a set each of its cells holds, a byte for each; empty if one has too many.
+
+    There are a power of two of cells, at least a quarter of the set's size; the cells of a smaller
+    set are pairs, fours and so on of those of a larger one.
+    """
+    bits = max(3, (len(s) // 4).bit_length())
+    count = np.bincount((s >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return count.astype(np.uint8).tobytes() if count.max() < 256 else b""
+
+
+def may_link(sizes: list[int], cells: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of rows that connect all rows whose cells allow a similarity of num / den.
+
+    Breadth first: each row in turn takes the rows not yet reached that may link to it.
+    """
+    known = [i for i, c in enumerate(cells) if c]
+    out = [(i, j) for i, c in enumerate(cells) if not c for j in range(len(cells)) if j != i]  # no bound: anything may link
+    if len(known) < 2:
+        return out
+    least = min(len(cells[i]) for i in known)
+    table = np.stack([np.frombuffer(cells[i], np.uint8).reshape(least, -1).sum(1, dtype=np.int32) for i in known])
+    size = np.array([sizes[i] for i in known], np.int64)
+    rest, queue = np.arange(1, len(known)), [0]
+    while len(rest):
+        if not queue:
+            queue.append(int(rest[0]))
+            rest = rest[1:]
+            continue
+        k = queue.pop()
+        near = np.abs(table[rest] - table[k]).sum(1) * (den + num) <= (size[rest] + size[k]) * (den - num)
+        out += [(known[k], known[i]) for i in rest[near].tolist()]
+        queue += rest[near].tolist()
+        rest = rest[~near]
+    return out
+
+
 def _set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id) of every row; set_id is null for empty sets."""
+    """(doc_id, n_shingles, set_id, cells) of every row; set_id and cells are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in _text_batches(batches, words):
-            found = [(len(s), set_hash(s) if len(s) else None) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["doc_id", "n_shingles", "set_id"])
+            found = [(len(s), set_hash(s), cell_counts(s)) if len(s) else (0, None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary())))], ["doc_id", "n_shingles", "set_id", "cells"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, cells binary")
 
 
-def _stars(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(a, b): rows that share a signature are connected through the smallest id that has it."""
+def _candidates(docs: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(a, b): pairs that connect the rows of each bucket. sets: rows of _set_rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, owners, seen, size = [], [], set(), 0  # equal sets among those held are one
@@ -157,21 +198,56 @@ def _stars(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         order = np.lexsort((owner, sig))
         sig, owner = sig[order], owner[order]
         first = np.append(True, sig[1:] != sig[:-1])
-        least = owner[first][np.cumsum(first) - 1]
-        pairs = np.unique(np.stack([owner[~first], least[~first]], 1), axis=0)
+        group = np.cumsum(first) - 1
+        least = owner[first][group]
+        large = np.bincount(group)[group] > SMALL
+        pairs = np.unique(np.stack([owner[large], least[large]], 1), axis=0)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        keep = np.flatnonzero(first)
+        keep = np.flatnonzero(first | ~large)
         for at in range(0, len(keep), 1 << 17):
             some = keep[at : at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(sig[some]), pa.array(owner[some]), pa.nulls(len(some), pa.int64())], ["sig", "a", "b"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["sig", "a", "b"])
-
-    rows = docs.mapInArrow(run, "sig long, a long, b long")
-    # links found within a task pass with a signature of their own: one shuffle serves both
-    key = F.coalesce(F.col("sig"), F.xxhash64("a", "b"))
-    rows = rows.select(key.alias("sig"), F.col("b").isNotNull().alias("pair"), "a", "b")
-    least = F.min(F.when(~F.col("pair"), F.col("a"))).over(Window.partitionBy("sig"))
-    return rows.withColumn("b", F.coalesce("b", least)).where("a <> b").select("a", "b").distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(sig[some]), pa.array(owner[some]), pa.nulls(len(some), pa.int64()), pa.array(large[some])], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.bool_())], names)
+
+    names = ["sig", "a", "b", "large"]
+    rows = docs.mapInArrow(run, "sig long, a long, b long, large boolean")
+    # pairs made within a task pass with a signature of their own: one shuffle serves both
+    rows = rows.withColumn("sig", F.coalesce(F.col("sig"), F.xxhash64("a", "b")))
+    bucket = Window.partitionBy("sig")
+    member = F.when(F.col("b").isNull(), F.col("a"))
+    rows = rows.withColumns({"size": F.count(member).over(bucket), "some_large": F.max("large").over(bucket), "least": F.min(member).over(bucket)})
+    rows = rows.where("b is not null or size > 1")
+    buckets = materialise(rows.select("sig", "a", F.coalesce("b", F.when(F.col("some_large") | (F.col("size") > SMALL), F.col("least"))).alias("b")), "buckets")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], set()
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[0] != key:
+                    settle_bucket(held, out)
+                    key, held = row[0], []
+                held.append(row)
+            if len(out) >= 100_000:
+                yield emit(out)
+                out = set()
+        settle_bucket(held, out)
+        yield emit(out)
+
+    def settle_bucket(held: list[tuple], out: set) -> None:
+        if len(held) > 1:
+            for i, j in may_link([h[2] for h in held], [h[3] for h in held], num, den):
+                a, b = held[i][1], held[j][1]
+                if a != b:
+                    out.add((max(a, b), min(a, b)))
+
+    def emit(out: set) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    small = buckets.where("b is null").select("sig", "a").join(sets.where("set_id is not null").select(F.col("doc_id").alias("a"), "n_shingles", "cells"), "a")
+    small = small.repartition("sig").sortWithinPartitions("sig").select("sig", "a", "n_shingles", "cells").mapInArrow(check, "a long, b long")
+    found = materialise(small.unionByName(buckets.where("a <> b").select("a", "b")).distinct(), "candidates")
+    discard(buckets)
+    return found
 
 
 def _member_filter(members: DataFrame) -> np.ndarray:
@@ -184,9 +260,9 @@ def _member_filter(members: DataFrame) -> np.ndarray:
     return out
 
 
-def _member_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """members (doc_id, family) with n and their shingles, from the texts again."""
-    bits = docs.sparkSession.sparkContext.broadcast(_member_filter(members))
+def _member_sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
+    """places (doc_id, n, ...) with the shingles of the members, from their texts again."""
+    bits = docs.sparkSession.sparkContext.broadcast(_member_filter(places))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,7 +272,14 @@ def _member_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "shingles"])
 
     near = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")).where("doc_id is not null")
-    return near.mapInArrow(run, "doc_id long, n long, shingles binary").where("n > 0").join(members, "doc_id")
+    return near.mapInArrow(run, "doc_id long, n long, shingles binary").where("n > 0").join(places, ["doc_id", "n"])
+
+
+def _places(members: DataFrame) -> DataFrame:
+    """members (doc_id, n, family) with their block, and whether the family has several."""
+    place = Window.partitionBy("family").orderBy("n", "doc_id")
+    slim = members.withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK).cast("int"))
+    return slim.withColumn("several", F.max("block").over(Window.partitionBy("family")) > 0)
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -238,11 +321,7 @@ def forest(ids_left: np.ndarray, ids_right: np.ndarray, linked: np.ndarray) -> l
 
 
 def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) spanning all links of the families in sets (doc_id, n, shingles, family)."""
-    place = Window.partitionBy("family").orderBy("n", "doc_id")
-    slim = sets.select("family", "doc_id", "n").withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK).cast("int"))
-    placed = sets.select("doc_id", "n", "shingles").join(slim, ["doc_id", "n"])
-    last = slim.groupBy("family").agg(F.max("block").alias("last")).where("last > 0")
+    """(a, b) spanning all links of the families in sets (doc_id, n, family, block, several, shingles)."""
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -277,7 +356,7 @@ def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
         if out:
             yield batch(out)
 
-    marked = placed.join(last, "family", "left").select("doc_id", "shingles", "family", "block", F.col("last").isNotNull().alias("several"))
+    marked = sets.select("doc_id", "shingles", "family", "block", "several")
     first = materialise(marked.repartition("family", "block").sortWithinPartitions("family", "block").mapInArrow(within, "a long, b long, family long, block int, least long, most long, ids binary, sizes binary, data binary"), "blocks")
     one = first.where("family is not null").select("family", "block", "least", "most")
     left, right = one.toDF("family", "i", "least_i", "most_i"), one.toDF("family", "j", "least_j", "most_j")
@@ -310,15 +389,15 @@ def classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col:
     named = rows.where("set_id is not null and doc_id is not null")
     reps = materialise(named.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "reps")
     of = materialise(named.join(reps, "set_id").select("doc_id", "rep").distinct(), "of")
-    stars = _stars(texts, words, num, den)
+    pairs = _candidates(texts, rows, words, num, den)
     a, b = of.toDF("a", "rep_a"), of.toDF("b", "rep_b")
-    stars = stars.join(a, "a").join(b, "b").where("rep_a <> rep_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    families = components(stars)
-    sets = materialise(_member_sets(texts, families.toDF("doc_id", "family"), words), "members")
-    links = _links(sets, num, den)
+    families = components(pairs.join(a, "a").join(b, "b").where("rep_a <> rep_b").select("rep_a", "rep_b"), "rep_a", "rep_b")
+    sizes = named.select("doc_id", F.col("n_shingles").alias("n")).distinct()
+    places = materialise(_places(families.toDF("doc_id", "family").join(sizes, "doc_id")), "places")
+    links = _links(_member_sets(texts, places, words), num, den)
     repeated = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("m"), F.collect_set("rep").alias("reps")).where("a <> m").select("a", F.explode("reps").alias("b"))
     found = components(links.unionByName(repeated))
-    discard(families, sets, links)
+    discard(pairs, families, places, links, of)
     named_rows = rows.join(reps, "set_id", "left").join(found.toDF("rep", "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return named_rows.select("doc_id", "n_shingles", component.alias("component_id"))

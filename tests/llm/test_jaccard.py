@@ -47,8 +47,27 @@ def test_similar_sets_share_a_signature(num, den):
         assert len(np.intersect1d(jaccard_join.signatures(a, num, den), jaccard_join.signatures(b, num, den)))
 
 
+def test_cells_never_rule_out_a_link():
+    r = np.random.default_rng(6)
+    ruled_out = 0
+    for _ in range(300):
+        n = int(r.choice([5, 20, 64, 300, 900]))
+        common = r.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1)
+        extra = int(r.integers(0, n // 2 + 1))
+        more = r.integers(0, 1 << 63, extra).astype(np.uint64) << np.uint64(1)
+        a, b = np.sort(np.concatenate([common, more[: extra // 3]])), np.sort(np.concatenate([common, more[extra // 3 :]]))
+        found = jaccard_join.may_link([len(a), len(b)], [jaccard_join.cell_counts(a), jaccard_join.cell_counts(b)], 4, 5)
+        if 5 * n >= 4 * (n + extra):
+            assert found
+        ruled_out += not found
+    assert ruled_out > 50
+    assert jaccard_join.may_link([3, 3, 3], [b"", b"\1" * 8, b"\1" * 8], 4, 5) == [(0, 1), (0, 2), (1, 2)]
+
+
+@pytest.mark.parametrize("small", [64, 3])
 @pytest.mark.parametrize(("words", "num", "den"), [(3, 9, 10), (5, 4, 5)])
-def test_classes_against_brute_force(spark, monkeypatch, words, num, den):
+def test_classes_against_brute_force(spark, monkeypatch, words, num, den, small):
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     rows = families(words)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
