@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +70,18 @@ def discard(*tables: DataFrame | None) -> None:
             remove_path(t.sparkSession, path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about `most` bytes of a string column, to bound what is made of one."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+        at = 0
+        while at < b.num_rows:
+            end = int(np.searchsorted(size, (size[at - 1] if at else 0) + most))
+            yield b.slice(at, max(1, end - at))
+            at = max(at + 1, end)
+        pa.default_memory_pool().release_unused()
+
+
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 

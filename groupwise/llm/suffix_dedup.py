@@ -33,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groupwise.llm.common import discard, materialise
+from groupwise.llm.common import discard, materialise, slices
 from groupwise.llm.shingles import U64, mix
 from groupwise.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 GRAM, FINE_GRAM = 16, 40
-SHARD_BYTES = 1_500_000
+SHARD_BYTES = 1_000_000
+#: Bytes of texts whose names or segments a task holds at once.
+SLICE = 1 << 23
 #: Bytes of texts that are named at once.
 CHUNK = 1 << 18
 #: Windows of a segment, and segments of a name from which on the finer minimiser is used.
@@ -103,7 +105,7 @@ def _shared_names(docs: DataFrame, width: int) -> DataFrame:
     """(text_hash, names) of the texts with windows named like a window of another text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1, SLICE):
             hashes, at = np.unique(b.column(0).to_numpy(), return_index=True)  # equal texts are one
             texts = [(b.column(1)[k].as_py() or "").encode() for k in at.tolist()]
             names, owners = [], []
@@ -140,7 +142,7 @@ def _segments(docs: DataFrame, shared: DataFrame, width: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2, SLICE):
             texts = [t.as_py().encode() for t in b.column(2)]
             ids, lists = b.column(0).to_numpy(), b.column(3)
             known = lists.flatten().to_numpy().view(U64)
@@ -260,7 +262,7 @@ def _first_documents(segments: DataFrame, width: int) -> DataFrame:
                     if size >= SHARD_BYTES:
                         yield settle(held)
                         held, size = [], 0
-                    if len(lone) >= 100_000:
+                    if len(lone) >= 20_000:
                         yield alone(lone)
                         lone = []
                 key = (name, seg_hash, at, segment)
