@@ -22,7 +22,6 @@ from groupwise.llm.common import discard, materialise
 BUCKETS = 4096
 #: Parts that a group's moves are accepted in, so that a huge group can move in part.
 GROUP_PARTS = 16
-SLACK = 0.01
 #: Sizes at which free documents are split into classes, the largest placed first.
 CLASSES = [1 << 14, 1 << 11, 1 << 8]
 
@@ -70,9 +69,7 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 3, id_col: str = "doc_
     linked, first = marked.where("linked").drop("linked"), marked
 
     for _ in range(rounds):
-        others = _totals(free, shards)
-        held = [a + b for a, b in zip(others, _totals(linked, shards), strict=True)]
-        quota = F.array(*[F.lit(max(0.0, even * (1 + SLACK) - h)) for h in held])
+        quota = F.array(*[F.lit(max(0.0, even - h)) for h in _totals(linked, shards)])  # free documents give way
         most = linked.groupBy("group", "shard").agg(F.sum("size").alias("bytes")).groupBy("group").agg(F.max(F.struct("bytes", (-F.col("shard")).alias("s"))).alias("m")).select("group", (-F.col("m.s")).alias("to"))
         part = F.pmod(F.xxhash64("group", F.pmod(F.xxhash64("uid"), F.lit(GROUP_PARTS))), F.lit(BUCKETS)).cast("int")
         offered = linked.join(most, "group").withColumns({"own": F.col("bucket"), "bucket": part})

@@ -86,7 +86,7 @@ def test_sharding(spark):
     for r in rows:
         if r["doc_id"] and r["doc_id"] >= 1000:
             pairs.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
-    assert np.mean([len(s) == 1 for s in pairs.values()]) > 0.5  # a random placement keeps almost none whole
+    assert np.mean([len(s) == 1 for s in pairs.values()]) > 0.9  # a random placement keeps almost none whole
     assert sharding.shard(empty(docs)).count() == 0
 
 
