@@ -216,8 +216,11 @@ def _candidates(docs: DataFrame, sets: DataFrame, words: int, num: int, den: int
     bucket = Window.partitionBy("sig")
     member = F.when(F.col("b").isNull(), F.col("a"))
     rows = rows.withColumns({"size": F.count(member).over(bucket), "some_large": F.max("large").over(bucket), "least": F.min(member).over(bucket)})
-    rows = rows.where("b is not null or size > 1")
-    buckets = materialise(rows.select("sig", "a", F.coalesce("b", F.when(F.col("some_large") | (F.col("size") > SMALL), F.col("least"))).alias("b")), "buckets")
+    star = F.coalesce("b", F.when(F.col("some_large") | (F.col("size") > SMALL), F.col("least")))
+    rows = rows.where("b is not null or size > 1").select("sig", "a", star.alias("b"))
+    # small buckets become lists of members, so that buckets with the same rows are one; the rest are pairs
+    rows = rows.groupBy("sig", "b", F.when(F.col("b").isNotNull(), F.col("a")).alias("a_of_pair")).agg(F.sort_array(F.collect_list(F.when(F.col("b").isNull(), F.col("a")))).alias("members"))
+    buckets = materialise(rows.select("members", F.col("a_of_pair").alias("a"), "b").distinct(), "buckets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, [], set()
@@ -243,7 +246,7 @@ def _candidates(docs: DataFrame, sets: DataFrame, words: int, num: int, den: int
     def emit(out: set) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    small = buckets.where("b is null").select("sig", "a").join(sets.where("set_id is not null").select(F.col("doc_id").alias("a"), "n_shingles", "cells"), "a")
+    small = buckets.where("b is null").select(F.xxhash64("members").alias("sig"), F.explode("members").alias("a")).join(sets.where("set_id is not null").select(F.col("doc_id").alias("a"), "n_shingles", "cells"), "a")
     small = small.repartition("sig").sortWithinPartitions("sig").select("sig", "a", "n_shingles", "cells").mapInArrow(check, "a long, b long")
     found = materialise(small.unionByName(buckets.where("a <> b").select("a", "b")).distinct(), "candidates")
     discard(buckets)
