@@ -222,20 +222,18 @@ def shard_first_documents(segments: list[bytes], owners: np.ndarray, width: int)
 def _first_documents(segments: DataFrame, width: int) -> DataFrame:
     """(name, seg_hash, at, windows, first): the smallest document of runs of a segment's windows."""
     pieces = segments.where("segment is not null").select("name", "seg_hash", "segment", "owner")
-    many = pieces.groupBy("name").count().where(F.col("count") > MANY_SEGMENTS).select("name", F.lit(True).alias("many"))
+    # written first, so that its size is known: a small table spares the pieces a shuffle
+    many = materialise(pieces.groupBy("name").count().where(F.col("count") > MANY_SEGMENTS).select("name", F.lit(True).alias("many")), "many")
 
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for name, seg_hash, piece, owner, is_many in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if not is_many:
-                    out.append((name, name, seg_hash, 0, piece, owner))
-                    continue
+            for name, seg_hash, piece, owner in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 fine = window_names(np.frombuffer(piece, np.uint8), width, FINE_GRAM)
                 for s, n in zip(*(x.tolist() for x in runs(fine, SEGMENT_WINDOWS)), strict=True):
                     out.append((int(mix(fine[s : s + 1] ^ U64(name % (1 << 64)))[0].view(np.int64)), name, seg_hash, s, piece[s : s + n + width - 1], owner))
             types = [pa.int64()] * 4 + [pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["shard", "name", "seg_hash", "at", "segment", "owner"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["shard", "name", "seg_hash", "at", "segment", "owner"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # distinct segments of whole shards, each with its smallest owner
@@ -291,7 +289,9 @@ def _first_documents(segments: DataFrame, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (name, seg_hash, offset + at[start], length, first[start])], names)
 
     marked = pieces.join(many, "name", "left").select("name", "seg_hash", "segment", "owner", "many")
-    dealt = marked.mapInArrow(finer, "shard long, name long, seg_hash long, at long, segment binary, owner long")
+    split = pieces.join(many, "name", "left_semi").select("name", "seg_hash", "segment", "owner").mapInArrow(finer, "shard long, name long, seg_hash long, at long, segment binary, owner long")
+    plain = marked.where("many is null").select(F.col("name").alias("shard"), "name", "seg_hash", F.lit(0).cast("long").alias("at"), "segment", "owner")
+    dealt = plain.unionByName(split)
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "name long, seg_hash long, at long, windows long, first long")
 
 
