@@ -1,8 +1,8 @@
 """Suffix arrays by induced sorting, on NumPy arrays, and permuted common prefixes.
 
-The classic steps: classify suffixes as larger or smaller than their right neighbour, sort the
-leftmost-smaller substrings by one round of inducing, name them, recurse on the names unless they
-are unique, and induce the whole array from the sorted ones. Inducing scans the array once in each
+The classic steps: classify suffixes as larger or smaller than their right neighbour, sort and name
+the leftmost-smaller substrings, recurse on the names unless they are unique, and induce the whole
+array from the sorted ones. Inducing scans the array once in each
 direction. A scan may take as one step all entries up to the next slot that is still empty: every
 slot before it is final, so nothing these entries place can fall among them, and their targets
 are found with one stable sort by symbol.
@@ -88,24 +88,36 @@ def _induce(t: np.ndarray, smaller: np.ndarray, counts: np.ndarray, larger_count
     return sa
 
 
-def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
-    """Rank of each leftmost-smaller substring, in text order; equal ones share a rank."""
-    length = np.zeros(len(t), np.int32)
-    length[lms] = np.append(np.diff(lms), 0) + 1
-    p, q = ordered[:-1], ordered[1:]
-    same = length[p] == length[q]
-    active = np.flatnonzero(same)
-    k = 0
+def _names(t: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, int]:
+    """Rank of each leftmost-smaller substring, in text order, and how many there are.
+
+    Equal substrings share a rank. Several symbols are compared at a time, and further ones only
+    where there are ties. What is a prefix of another ends where the other goes on with a larger
+    suffix, so it sorts after it.
+    """
+    length = np.append(np.diff(lms), 0) + 1
+    per = 4 if t.dtype.itemsize <= 2 else 2
+    end = np.uint64((1 << (64 // per)) - 1)
+    rank, active, at = np.zeros(len(lms), np.int64), np.arange(len(lms)), 0
     while len(active):
-        equal = t[p[active] + k] == t[q[active] + k]
-        same[active[~equal]] = False
-        k += 1
-        active = active[equal]
-        active = active[length[p[active]] > k]
-    rank = np.append(0, np.cumsum(~same))
-    out = np.zeros(len(t), np.int32)
-    out[ordered] = rank
-    return out[lms], int(rank[-1]) + 1
+        word, begin, size = np.zeros(len(active), np.uint64), lms[active].astype(np.int64), length[active]
+        for k in range(at, at + per):
+            symbol = np.where(k < size, t[np.minimum(begin + k, len(t) - 1)].astype(np.uint64), end)
+            word = (word << np.uint64(64 // per)) | symbol
+        order = np.lexsort((word, rank[active])) if at else word.argsort(kind="stable")
+        active, word = active[order], word[order]
+        old = rank[active]
+        first_old = np.append(True, old[1:] != old[:-1])
+        first = first_old | np.append(True, word[1:] != word[:-1])
+        place = np.arange(len(active))
+        group = place[first][first.cumsum() - 1]
+        rank[active] = old + group - place[first_old][first_old.cumsum() - 1]
+        alone = first & np.append(first[1:], True)
+        at += per
+        active = active[~alone & (length[active] > at)]
+    used = np.zeros(len(lms), bool)
+    used[rank] = True
+    return (used.cumsum() - 1)[rank].astype(np.int32), int(used.sum())
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -119,13 +131,12 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     counts = np.bincount(t)
     larger_counts = np.bincount(t[~smaller], minlength=len(counts))
     lms = np.flatnonzero(smaller & np.append(False, ~smaller[:-1])).astype(np.int32)
-    sa = _induce(t, smaller, counts, larger_counts, lms)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    ordered = sa[is_lms[sa]]
-    names, distinct = _names(t, lms, ordered)
+    names, distinct = _names(t, lms)
     if distinct < len(lms):
         ordered = lms[suffix_array(names)]
+    else:
+        ordered = np.empty_like(lms)
+        ordered[names] = lms
     return _induce(t, smaller, counts, larger_counts, ordered)
 
 
