@@ -114,7 +114,7 @@ def _names(t: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, int]:
         rank[active] = old + group - place[first_old][first_old.cumsum() - 1]
         alone = first & np.append(first[1:], True)
         at += per
-        active = active[~alone & (length[active] > at)]
+        active = active[~alone & (length[active] >= at)]  # one that ends here still sorts after a longer one
     used = np.zeros(len(lms), bool)
     used[rank] = True
     return (used.cumsum() - 1)[rank].astype(np.int32), int(used.sum())
@@ -125,7 +125,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     n = len(t)
     if n < 2:
         return np.zeros(n, np.int32)
-    if t.dtype.itemsize > 2 and t.max() < 1 << 16:
+    if t.dtype.itemsize > 2 and t.max() < (1 << 16) - 1:
         t = t.astype(np.uint16)  # NumPy sorts short integers by radix
     smaller = _smaller(t)
     counts = np.bincount(t)

@@ -10,8 +10,8 @@ from tests.llm.fixtures import BASE, TEXTS, documents, empty
 
 def test_suffix_array_and_prefixes():
     r = np.random.default_rng(0)
-    for _ in range(400):
-        t = np.append(np.tile(r.integers(1, r.integers(2, 6), r.integers(1, 40)), r.integers(1, 4)), 0)
+    for _ in range(1500):
+        t = np.append(np.tile(r.integers(1, r.integers(2, 7), r.integers(1, 40)), r.integers(1, 4)), 0)
         sa, symbols = suffix_array(t), t.tolist()
         assert sa.tolist() == sorted(range(len(t)), key=lambda i: symbols[i:])
         common = permuted_common_prefixes(t.astype(np.uint8), sa, 20)
