@@ -38,7 +38,7 @@ from groupwise.llm.shingles import U64, mix, set_hash, shingle_sets
 
 BLOCK = 256
 #: Rows up to which a bucket's members are compared by their cells.
-SMALL = 64
+SMALL = 2048
 #: Signatures that a task holds at once.
 HELD = 1 << 20
 FILTER_BITS = 1 << 24
