@@ -15,14 +15,12 @@ from groupwise.llm.common import fresh_path
 from groupwise.llm.tokens import default_vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document whose main language has a smaller share is rejected.
-LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a determined language that most of the text is in."""
+    """Keeps documents with a determined language, however much of the text is in it."""
     judged = language.predict(docs, keep=COLUMNS)
-    return judged.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
+    return judged.where(F.col("lang_pred") != language.UNDETERMINED).select(*COLUMNS)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ PER_LANGUAGE, MAX_LANGUAGES = 400, 200
 SALTS = 32
 SMOOTHING = 0.2
 ROUNDS = 8
-#: Weight of log(n) that a further language must gain in log-likelihood.
+#: Weight of log(n) that each further language must gain in log-likelihood.
 PENALTY = 6.0
 ENTRIES = 1_000_000
 UNDETERMINED = "und"
@@ -88,8 +88,9 @@ def infer(docs: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray) -> tuple
         np.put_along_axis(allowed, order[active, :size], 1, axis=1)
         entries = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in active])
         found, likely = mixtures(p[entries], count[entries], np.cumsum([0, *sizes[active]]), allowed)
-        better = likely - price[active] > value[active]
-        value[active] = np.where(better, likely - price[active], value[active])
+        gain = likely - price[active] * (size - 1)
+        better = gain > value[active]
+        value[active] = np.where(better, gain, value[active])
         best[active[better]] = found[better]
         active = active[better]
     top = best.argmax(1)

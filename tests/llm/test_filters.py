@@ -107,3 +107,39 @@ def test_language(spark):
     assert by[None]["held_out"] is False and all(f["held_out"] == (crc32(str(f["doc_id"]).encode()) % 3 == 1) for f in found if f["doc_id"] is not None)
     assert language.predict(empty(docs)).count() == 0
     assert {f["lang_pred"] for f in language.predict(docs.drop("lang").selectExpr("*", "cast(null as string) as lang")).collect()} == {"und"}
+
+
+def plain_set(at, n, table):
+    """(language, share) of the penalised language set of one text, one price for each further language."""
+    p, price = table[at], language.PENALTY * np.log(n.sum() + 1)
+
+    def fit(allowed):
+        share = np.isin(np.arange(p.shape[1]), allowed) / len(allowed)
+        for _ in range(language.ROUNDS):
+            joint = p * share
+            share = (joint * (n / joint.sum(1))[:, None]).sum(0) / n.sum()
+        return share, (n * np.log((p * share).sum(1))).sum()
+
+    order = np.argsort(-fit(range(p.shape[1]))[0], kind="stable")
+    best, value = fit(order[:1])
+    for size in range(2, p.shape[1] + 1):
+        share, likely = fit(order[:size])
+        if likely - price * (size - 1) <= value:
+            break
+        best, value = share, likely - price * (size - 1)
+    return best.argmax(), best.max()
+
+
+def test_each_further_language_pays():
+    r = np.random.default_rng(3)
+    table = r.dirichlet(np.full(language.BINS, 0.02), 4).T + 1e-5
+    table /= table.sum(0)
+    docs = []
+    for parts in ([80, 0, 0, 0], [30, 30, 4, 0], [40, 25, 6, 3], [20, 20, 20, 0], [12, 5, 2, 1], [60, 40, 5, 5]) * 5:
+        found = np.concatenate([r.choice(language.BINS, k, p=table[:, i]) for i, k in enumerate(parts)])
+        at, n = np.unique(found, return_counts=True)
+        docs.append((at, n.astype(float)))
+    top, share = language.infer(docs, table)
+    expected = [plain_set(*d, table) for d in docs]
+    assert top.tolist() == [e[0] for e in expected]
+    np.testing.assert_allclose(share, [e[1] for e in expected], rtol=1e-9)

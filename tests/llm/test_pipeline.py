@@ -58,6 +58,17 @@ def test_language_stage_keeps_all_text_with_a_language(stages):
     assert after == [r for r in before if r[1] and any(map(str.isalpha, r[1]))]
 
 
+def test_language_stage_keeps_short_and_mixed_texts(spark):
+    r = random.Random(6)
+    fr = "le et de avec maison eau jardin matin riviere pierre lettre fenetre pain".split()
+    say = lambda lang, n: " ".join(r.choices(fr if lang == "fr" else WORDS[lang], k=n))
+    rows = [(i, say(lang := ("en", "de", "fr")[i % 3], 60), lang, "s", 1) for i in range(300)]
+    rows += [(1000 + i, " ".join(say(x, n) for x in ("en", "de", "fr")), "en", "s", 1) for i, n in enumerate([15, 30, 60] * 4)]
+    rows += [(2000 + i, say("en", 1 + i), "en", "s", 1) for i in range(10)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, corpus_pipeline.language_id(spark, docs, "").collect())) == sorted(rows)
+
+
 def test_join_stage_keeps_the_smallest_of_each_group(stages):
     before, after, *_ = stages[1][1]
     classes = brute.jaccard_classes([(r[0], r[1]) for r in before], 5, 4, 5)
