@@ -6,6 +6,7 @@ probabilities per language. For a document, expectation-maximisation estimates t
 the languages that best explain its n-grams; then language sets are grown from the largest
 proportion on, keeping a further language only while the penalised likelihood rises. Prediction
 is a map over whole texts without a shuffle; the model broadcast has a fixed size per language.
+More than MAX_LANGUAGES labelled languages raise ValueError, none is thinned or left out.
 
 Defined results: a text that is null or has no letter is `und` with score 0, and so is every
 text when there is no labelled row; held_out is false and nothing is learned where the id is
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from groupwise.llm.common import discard, materialise
+
 BINS = 1 << 13
 PER_LANGUAGE, MAX_LANGUAGES = 400, 200
 SALTS = 32
@@ -106,8 +109,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ids = usable.select("id", "lang", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).alias("salt"))
     for w in (within, over):
         ids = ids.withColumn("k", F.row_number().over(w)).where(F.col("k") <= PER_LANGUAGE).drop("k")
-    ids = ids.select("id").distinct()
-    ids = ids.limit(PER_LANGUAGE * MAX_LANGUAGES)
+    picked = materialise(ids.select("lang", "id"), "sample")
+    if picked.select("lang").distinct().count() > MAX_LANGUAGES:
+        discard(picked)
+        raise ValueError(f"the labels have more than {MAX_LANGUAGES} languages")
+    ids = picked.select("id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -122,6 +128,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts: dict[str, np.ndarray] = {}
     for r in sample.repartition(8).mapInArrow(run, "lang string, counts binary").toLocalIterator():
         counts[r["lang"]] = counts.get(r["lang"], 0) + np.frombuffer(r["counts"])
+    discard(picked)
     names = sorted(counts)
     if not names:
         return [], np.empty((BINS, 0))

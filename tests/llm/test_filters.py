@@ -2,6 +2,7 @@ import math
 from zlib import crc32
 
 import numpy as np
+import pytest
 
 from groupwise.llm import language, sharding, topk, url_filter
 from tests.llm.fixtures import documents, empty, vectors
@@ -143,3 +144,11 @@ def test_each_further_language_pays():
     expected = [plain_set(*d, table) for d in docs]
     assert top.tolist() == [e[0] for e in expected]
     np.testing.assert_allclose(share, [e[1] for e in expected], rtol=1e-9)
+
+
+def test_more_languages_than_the_bound_raise(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, f"word{'abcd'[i % 4]} again", "abcd"[i % 4]) for i in range(40)], "doc_id long, text string, lang string")
+    assert language.train(docs.where("lang < 'd'"))[0] == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        language.train(docs)
