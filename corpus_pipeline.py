@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groupwise.llm import jaccard_join, language, packing, suffix_dedup
-from groupwise.llm.common import fresh_path
+from groupwise.llm.common import fresh_path, materialise
 from groupwise.llm.tokens import default_vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,14 +24,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies (five-word shingles, Jaccard >= 0.8) the smallest id."""
-    classes = jaccard_join.classes(docs, words=5, num=4, den=5)
-    drop = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps of each group of near copies (five-word shingles, Jaccard >= 0.8) the smallest id.
+
+    Where ids repeat or are null, rows are judged each by itself: of a group the row with the
+    smallest id stays (null ids come last, then a hash of id and text decides), and of rows with
+    one id and one text the least by the other columns. Rows without words are in no group.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        classes = jaccard_join.classes(docs, words=5, num=4, den=5)
+        drop = classes.where("component_id <> doc_id").select("doc_id").distinct()
+        return docs.join(drop, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("key"))
+    found = materialise(jaccard_join.classes(keyed, words=5, num=4, den=5, id_col="key").where("n_shingles > 0").toDF("key", "n_shingles", "component"), "rows")
+    groups = found.select("key", "component").distinct()
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    least = groups.join(keyed.select("key", "doc_id").distinct(), "key").groupBy("component").agg(F.min_by("key", place).alias("least"))
+    kept = keyed.join(groups.join(least, "component").where("key <> least").select("key"), "key", "left_anti")
+    equal = found.groupBy("key").count().where("count > 1").select("key")
+    one = kept.join(equal, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return kept.join(equal, "key", "left_anti").select(*COLUMNS).unionByName(one)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 50 bytes or more that a document with a smaller id has too."""
+    """Cuts passages of 50 bytes or more that a document with a smaller id has too.
+
+    Rows of one id don't cut each other's passages, and rows with a null id neither cut nor are cut.
+    """
     return suffix_dedup.remove(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long"))
 
 

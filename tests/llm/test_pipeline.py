@@ -76,6 +76,16 @@ def test_join_stage_keeps_the_smallest_of_each_group(stages):
     assert {r[0] for r in after} == kept and len(kept) < len(before)
 
 
+def test_join_stage_judges_rows_where_ids_repeat_or_are_null(spark):
+    r = random.Random(8)
+    a, b, c, d, e = (" ".join(r.choices([f"w{k}" for k in range(500)], k=40)) for _ in range(5))
+    near = f"{a} end"
+    rows = [(0, a), (1, near), (1, b), (2, c), (2, c), (None, d), (None, d), (None, a), (None, e), (3, e), (4, near), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.ngram_join(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(0, a), (1, b), (2, c), (3, e), (None, d), (None, None), (None, None)], key=str)
+
+
 def test_passage_stage_removes_what_an_earlier_document_has(stages):
     before, after, *_ = stages[1][2]
     removed = {d: n for d, _, n, *_ in brute.removed_bytes([(r[0], r[1]) for r in before])}
