@@ -31,8 +31,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 # The small labelled table, hosts and paths of wanted and unwanted sites.
-WANTED_HOSTS = "riverdale library museum weather gardening history science university school recipes travel news music art books health nature sport city council theatre village archive lexicon journal observatory botany chemistry thornton theresa northern anderson stone meadow hearth lantern thistle heron rhine trent tinsley threshold wharf ontario shelter shore arrington".split()
-UNWANTED_HOSTS = "casino-win best-casino online-poker slots-bonus cheap-pills discount-pharmacy viagra-shop pills-online adult-x xxx-video porn-tube hot-adult free-loans payday-loan win-prize lottery-win torrent-warez crack-keygen spam-offers replica-watches betting-odds sex-chat escort-dates malware-download free-bets ads-server click-track spam-links link-farm".split()
+WANTED_HOSTS = "riverdale library museum weather gardening history science university school recipes travel news music art books health nature sport city council theatre village archive lexicon journal observatory botany chemistry thornton theresa northern anderson stone meadow hearth lantern thistle heron rhine trent tinsley threshold wharf ontario shelter shore arrington kitchen garden painting physics mathematics medicine hospital college academy teacher students language grammar dictionary poetry novels cinema photography architecture railway harbour mountain forest farming village-green city-hall town-news open-library book-club bird-watch home-cooking folk-music public-health local-history river-walk".split()
+UNWANTED_HOSTS = """casino-royal best-casino casinobonus live-casino vegas-casino lucky-win big-win win-money win-prize online-poker poker-bets slots-bonus mega-slots jackpot-spins roulette-play betting-odds sports-bets bets-online bet-bonus free-spins free-money free-loans free-gifts payday-loan fast-cash lottery-win lottery-prize
+cheap-meds cheap-viagra cheap-watches discount-pharmacy viagra-shop pills-online diet-pills buy-pills cialis-shop adult-toys adult-cams adult-chat adults-only hot-adult xxx-video xxx-tube porn-tube porn-video free-porn sex-chat sex-cams escort-dates hot-dates
+torrent-warez warez-download crack-keygen serial-keys malware-download virus-download fake-bank phishing-login login-verify spam-offers spam-mail bulk-spam spammer-list replica-watches replica-bags ad-tracker ads-popup banner-ads ads-network tracker-pixel web-tracking adclick-server content-farm click-farm like-farm seo-links buy-links""".split()
 WANTED_PATHS = "/ /about /en/123 /de/45.html /fr/678/ /es/9 /articles/history /2024/05/spring-report".split()
 UNWANTED_PATHS = "/ /bonus /en/321 /de/54.html /fr/876/ /es/8 /free/casino-bonus /win/cheap-pills /xxx/adult-video".split()
 AFFIXES = ["", "www.", "blog.", "m."]

@@ -152,3 +152,12 @@ def test_more_languages_than_the_bound_raise(spark, monkeypatch):
     assert language.train(docs.where("lang < 'd'"))[0] == ["a", "b", "c"]
     with pytest.raises(ValueError):
         language.train(docs)
+
+
+def test_url_model_on_the_unwanted_hosts_of_the_pages():
+    hosts = ["casino-win", "cheap-pills", "free-bets", "adult-x", "ads-track", "spam-farm"]
+    assert not set(hosts) & set(url_filter.UNWANTED_HOSTS)
+    scorer = url_filter.Scorer(*url_filter.train(url_filter.labelled_urls()))
+    for host in hosts:
+        urls = [f"https://{a}{host}.example.{e}/{p}/12" for a in ("", "www.") for e in ("org", "net") for p in ("en", "de")]
+        assert np.mean([scorer(*url_filter.split_url(u)) >= 0.5 for u in urls]) > 0.7
