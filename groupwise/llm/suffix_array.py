@@ -1,11 +1,15 @@
 """Suffix arrays by induced sorting, on NumPy arrays, and permuted common prefixes.
 
-The classic steps: classify suffixes as larger or smaller than their right neighbour, sort and name
-the leftmost-smaller substrings, recurse on the names unless they are unique, and induce the whole
-array from the sorted ones. Inducing scans the array once in each
-direction. A scan may take as one step all entries up to the next slot that is still empty: every
-slot before it is final, so nothing these entries place can fall among them, and their targets
-are found with one stable sort by symbol.
+The classic steps: classify suffixes as larger or smaller than their right neighbour, sort the
+leftmost-smaller substrings by a round of inducing, name them, recurse on the names unless they are
+unique, and induce the whole array from the sorted ones.
+
+Inducing scans the array once in each direction, and is linear. A scan takes as one step all
+entries up to the next bucket that still has empty slots: what these entries place falls behind
+them, and their targets are found with one stable sort by symbol. The slots that are empty when a
+scan reaches their bucket belong to suffixes whose right neighbour lies in the same bucket, that is
+to runs of one symbol; the order of the runs' ends gives all of them at once. So neither runs nor
+periods are walked symbol by symbol.
 """
 
 from __future__ import annotations
@@ -15,7 +19,6 @@ import numpy as np
 
 def _smaller(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the last (the sentinel) counts as smaller."""
-    n = len(t)
     less = t[:-1] < t[1:]
     differ = np.flatnonzero(less | (t[:-1] > t[1:]))  # the last step always is one
     return np.append(np.repeat(less[differ], np.diff(np.append(-1, differ))), True)
@@ -29,95 +32,126 @@ def _place(sa: np.ndarray, suffixes: np.ndarray, symbols: np.ndarray, free: np.n
     first[0] = True
     np.not_equal(s[1:], s[:-1], out=first[1:])
     begin = first.nonzero()[0]
-    rank = np.arange(len(s)) - begin[first.cumsum() - 1]
-    slot = free[s] + rank * step
-    sa[slot] = suffixes[order]
-    free[s] = slot + step  # of equal symbols the last one counts
-
-
-def _induce(t: np.ndarray, smaller: np.ndarray, counts: np.ndarray, larger_counts: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    size = np.diff(np.append(begin, len(s)))
+    at = free[s[begin]]
+    sa[np.repeat(at - begin * step, size) + np.arange(len(s)) * step] = suffixes[order]
+    free[s[begin]] = at + size * step
+
+
+def _chains(ends: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The suffixes of runs, nearest to the runs' ends first: ends - 1 of those with one before, ends - 2 ..."""
+    before = before[ends]
+    far = int(before.max(initial=0))
+    if far <= 1:
+        return ends[before > 0] - 1
+    total = before.cumsum()
+    distance = np.arange(total[-1]) - np.repeat(total - before, before)
+    order = distance.astype(np.uint16 if far < 1 << 16 else np.int64).argsort(kind="stable")
+    return (np.repeat(ends, before) - distance - 1)[order]
+
+
+class _Text:
+    """What inducing needs to know of a text; computed once for both rounds."""
+
+    def __init__(self, t: np.ndarray):
+        n = len(t)
+        self.t, self.n = t, n
+        self.smaller = _smaller(t)
+        counts = np.bincount(t)
+        larger = np.bincount(t[~self.smaller], minlength=len(counts))
+        self.ends = np.cumsum(counts)
+        self.starts = self.ends - counts
+        self.middles = self.starts + larger  # larger suffixes of a symbol come before its smaller ones
+        self.slot_larger = np.repeat(np.tile([True, False], len(counts)), np.stack([larger, counts - larger], 1).ravel())
+        # does a larger (or smaller) symbol lie to the left? Entries n and n + 1 stand for empty slots
+        self.after_larger, self.after_smaller = np.zeros(n + 2, bool), np.zeros(n + 2, bool)
+        np.greater(t[:-1], t[1:], out=self.after_larger[1:n])
+        np.less(t[:-1], t[1:], out=self.after_smaller[1:n])
+        begin = np.zeros(n, np.int32)
+        at = np.flatnonzero(t[1:] != t[:-1]) + 1
+        begin[at] = at
+        self.before = np.arange(n, dtype=np.int32) - np.maximum.accumulate(begin)  # equal symbols on the left
+
+
+def _gap(sa: np.ndarray, at: int, step: int) -> int:
+    """The next empty slot from at on, in the direction of step; -1 or len(sa) if there is none."""
+    span = 256
+    while 0 <= at < len(sa):
+        some = sa[at : at + span] if step > 0 else sa[max(0, at - span + 1) : at + 1][::-1]
+        empty = some == -1
+        k = int(empty.argmax())
+        if empty[k]:
+            return at + k * step
+        at += len(some) * step
+        span = min(2 * span, 1 << 16)
+    return len(sa) if step > 0 else -1
+
+
+def _induce(x: _Text, seeds: np.ndarray) -> np.ndarray:
     """The array that the seeds (leftmost-smaller suffixes, in order within a symbol) induce."""
-    n = len(t)
-    ends = np.cumsum(counts)
-    starts = ends - counts
-    slot_larger = np.repeat(np.tile([True, False], len(counts)), np.stack([larger_counts, counts - larger_counts], 1).ravel())
+    t, n = x.t, x.n
     # -1: still to be filled; -2: empty in this scan
-    sa = np.where(slot_larger, -1, -2).astype(np.int32)
-    _place(sa, seeds[::-1], t[seeds[::-1]], ends - 1, -1)
+    sa = np.where(x.slot_larger, -1, -2).astype(np.int32)
+    _place(sa, seeds[::-1], t[seeds[::-1]], x.ends - 1, -1)
 
-    # does a suffix have a larger (or smaller) one to its left? Entry n stands for -2
-    follows = np.zeros(n + 2, bool)
-    np.logical_not(smaller[:-1], out=follows[1:n])
-    head, a, width = starts.copy(), 0, 256
+    free, a, seen = x.starts.copy(), 0, 0
     while a < n:
-        b, at, span = n, a, width
-        while at < n:
-            gap = sa[at : at + span] == -1
-            k = int(gap.argmax())
-            if gap[k]:
-                b = at + k
-                break
-            at += span
-            span *= 2
+        b = _gap(sa, max(a, seen), 1)
+        if b < n:
+            c = int(np.searchsorted(x.starts, b, side="right")) - 1
+            if a == x.starts[c]:  # all that comes before the bucket is scanned
+                sa[b : x.middles[c]] = _chains(sa[a:b], x.before)
+                seen = int(x.middles[c])
+                continue
+            seen, b = b, int(x.starts[c])
         j = sa[a:b]
-        j = j[follows[j]] - 1
+        j = j[x.after_larger[j]] - 1
         if len(j):
-            _place(sa, j, t[j], head, 1)
-        width, a = max(64, min(2 * (b - a), 1 << 16)), b
+            _place(sa, j, t[j], free, 1)
+        a = b
 
-    sa[~slot_larger] = -1
+    sa[~x.slot_larger] = -1
     sa[0] = n - 1
-    follows[1:n] = smaller[:-1]
-    tail, b, width = ends - 1, n, 256
+    free, b, seen = x.ends - 1, n, n
     while b > 0:
-        a, at, span = -1, b, width
-        while at > 0:
-            low = max(0, at - span)
-            gap = sa[low:at][::-1] == -1
-            k = int(gap.argmax())
-            if gap[k]:
-                a = at - 1 - k
-                break
-            at = low
-            span *= 2
-        j = sa[a + 1 : b][::-1]
-        j = j[follows[j]] - 1
+        a = _gap(sa, min(b, seen) - 1, -1) + 1
+        if a > 0:
+            c = int(np.searchsorted(x.starts, a - 1, side="right")) - 1
+            if b == x.ends[c]:
+                sa[x.middles[c] : a] = _chains(sa[a:b][::-1], x.before)[::-1]
+                seen = int(x.middles[c])
+                continue
+            seen, a = a, int(x.ends[c])
+        j = sa[a:b][::-1]
+        j = j[x.after_smaller[j]] - 1
         if len(j):
-            _place(sa, j, t[j], tail, -1)
-        width, b = max(64, min(2 * (b - a), 1 << 16)), a + 1
+            _place(sa, j, t[j], free, -1)
+        b = a
     return sa
 
 
-def _names(t: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, int]:
+def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
     """Rank of each leftmost-smaller substring, in text order, and how many there are.
 
-    Equal substrings share a rank. Several symbols are compared at a time, and further ones only
-    where there are ties. What is a prefix of another ends where the other goes on with a larger
-    suffix, so it sorts after it.
+    ordered: their starts, sorted; equal ones share a rank and lie side by side.
     """
-    length = np.append(np.diff(lms), 0) + 1
-    per = 4 if t.dtype.itemsize <= 2 else 2
-    end = np.uint64((1 << (64 // per)) - 1)
-    rank, active, at = np.zeros(len(lms), np.int64), np.arange(len(lms)), 0
-    while len(active):
-        word, begin, size = np.zeros(len(active), np.uint64), lms[active].astype(np.int64), length[active]
-        for k in range(at, at + per):
-            symbol = np.where(k < size, t[np.minimum(begin + k, len(t) - 1)].astype(np.uint64), end)
-            word = (word << np.uint64(64 // per)) | symbol
-        order = np.lexsort((word, rank[active])) if at else word.argsort(kind="stable")
-        active, word = active[order], word[order]
-        old = rank[active]
-        first_old = np.append(True, old[1:] != old[:-1])
-        first = first_old | np.append(True, word[1:] != word[:-1])
-        place = np.arange(len(active))
-        group = place[first][first.cumsum() - 1]
-        rank[active] = old + group - place[first_old][first_old.cumsum() - 1]
-        alone = first & np.append(first[1:], True)
+    place = np.searchsorted(lms, ordered)
+    length = (np.append(np.diff(lms), 0) + 1)[place]
+    per = 8 // t.dtype.itemsize
+    padded = np.concatenate([t, np.zeros(per, t.dtype)])
+    words = np.lib.stride_tricks.as_strided(padded, (len(t), per), (t.itemsize, t.itemsize))
+    differ = np.append(True, length[1:] != length[:-1])
+    pair, at = np.flatnonzero(~differ), 0
+    while len(pair):
+        left, right = (np.ascontiguousarray(words[ordered[p] + at]).view(np.uint64).ravel() for p in (pair - 1, pair))
+        over = (at + per - length[pair]).clip(0) * 8 * t.itemsize  # bits beyond the substring
+        unequal = ((left ^ right) << over.astype(np.uint64)) != 0
+        differ[pair[unequal]] = True
         at += per
-        active = active[~alone & (length[active] >= at)]  # one that ends here still sorts after a longer one
-    used = np.zeros(len(lms), bool)
-    used[rank] = True
-    return (used.cumsum() - 1)[rank].astype(np.int32), int(used.sum())
+        pair = pair[~unequal & (length[pair] > at)]
+    rank = np.empty(len(lms), np.int32)
+    rank[place] = differ.cumsum() - 1
+    return rank, int(differ.sum())
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -125,19 +159,24 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     n = len(t)
     if n < 2:
         return np.zeros(n, np.int32)
-    if t.dtype.itemsize > 2 and t.max() < (1 << 16) - 1:
-        t = t.astype(np.uint16)  # NumPy sorts short integers by radix
-    smaller = _smaller(t)
-    counts = np.bincount(t)
-    larger_counts = np.bincount(t[~smaller], minlength=len(counts))
-    lms = np.flatnonzero(smaller & np.append(False, ~smaller[:-1])).astype(np.int32)
-    names, distinct = _names(t, lms)
+    used = np.bincount(t) > 0
+    distinct = int(used.sum())
+    if distinct < 1 << 16:  # NumPy sorts short integers by radix
+        t = (used.cumsum() - 1).astype(np.uint8 if distinct <= 1 << 8 else np.uint16)[t]
+    else:
+        t = t.astype(np.int32)
+    x = _Text(t)
+    lms = np.flatnonzero(x.smaller & np.append(False, ~x.smaller[:-1])).astype(np.int32)
+    if len(lms) == 1:
+        return _induce(x, lms)
+    is_lms = np.zeros(n, bool)
+    is_lms[lms] = True
+    ordered = _induce(x, lms)
+    ordered = ordered[is_lms[ordered]]
+    names, distinct = _names(t, lms, ordered)
     if distinct < len(lms):
         ordered = lms[suffix_array(names)]
-    else:
-        ordered = np.empty_like(lms)
-        ordered[names] = lms
-    return _induce(t, smaller, counts, larger_counts, ordered)
+    return _induce(x, ordered)
 
 
 def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
