@@ -7,20 +7,28 @@ it, so equal windows of any documents have one name. The steps:
 1. names held by two different texts or more are found (one row per text and name);
 2. of equal texts the one with the smallest id is cut into segments, the runs of windows that
    share such a name; equal segments are one, with the smallest document that has them;
-3. segments are dealt to shards by name (names with very many segments by a finer minimiser as
-   well), and the suffix array of many shards at a time is built by induced sorting; permuted
-   common prefixes of WIDTH or more join equal windows, and each window learns the smallest
-   document that has it (a shard of one segment has nothing to compare);
+3. segments are dealt to shards by name, and the suffix array of many shards at a time is built by
+   induced sorting; permuted common prefixes of WIDTH or more join equal windows, and each window
+   learns the smallest document that has it;
 4. documents take back the windows that a smaller document has, merge them to spans, and drop them.
 
-Each row is bounded by a document or a segment; a suffix array covers about SHARD_BYTES. Texts and
-segments are told apart by 64-bit hashes where they are joined. Hot names are
+No shard grows with the corpus: a name with more than MANY_SEGMENTS segments is split by a finer
+minimiser, and where a part still has more (a common line in many texts, with different neighbours),
+its windows go one by one: each distinct window is aggregated to its smallest document, within
+tasks first, and the answers of windows that are common themselves are joined by broadcast, up to
+COMMON_WINDOWS of them. A segment goes into an array only if one of its windows has a hash that
+occurs twice among the segments of that array; what is left out has nothing to compare with.
+
+Each row is bounded by a document or a segment; a suffix array covers about SHARD_BYTES. Texts are
+equal if their 64-bit hash and 128 bits of SHA-256 are; different texts with one 64-bit hash are
+known and treated apart. Segments of one name are told apart by 64-bit digests. Hot names are
 pre-aggregated within each task before the shuffle. Intermediate tables are written to the shared
 folder, so a lost executor repeats one step only.
 
 Defined results: null text is the empty one; a document with a null id neither removes nor loses
 bytes; rows with the same id don't remove each other's bytes and are judged each by itself; texts
-shorter than WIDTH lose nothing; other columns are ignored; an empty table gives no rows.
+shorter than WIDTH lose nothing; other columns are ignored, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -38,13 +46,16 @@ from groupwise.llm.shingles import U64, mix
 from groupwise.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 GRAM, FINE_GRAM = 16, 40
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 2_000_000
 #: Bytes of texts whose names or segments a task holds at once.
 SLICE = 1 << 23
 #: Bytes of texts that are named at once.
 CHUNK = 1 << 18
-#: Windows of a segment, and segments of a name from which on the finer minimiser is used.
-SEGMENT_WINDOWS, MANY_SEGMENTS = 256, 10_000
+#: Windows of a segment; segments of a name (or of its finer part) from which on it is split.
+SEGMENT_WINDOWS, MANY_SEGMENTS = 256, 2_000
+#: Answers of common windows that are broadcast at most; windows beyond are joined by shuffling.
+COMMON_WINDOWS = 50_000
+ODD = 0x9E3779B97F4A7C15
 
 
 def window_names(raw: np.ndarray, width: int, gram: int) -> np.ndarray:
@@ -59,7 +70,9 @@ def window_names(raw: np.ndarray, width: int, gram: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = mix(words[: n - gram + 1])
         for at in range(8, gram - 7, 8):
-            h = mix(h * U64(0x9E3779B97F4A7C15) + words[at : at + n - gram + 1])
+            h = mix(h * U64(ODD) + words[at : at + n - gram + 1])
+        if gram % 8:
+            h = mix(h * U64(ODD) + words[gram - 8 : n - 7])
     span, s = width - gram + 1, 1
     while 2 * s <= span:
         h, s = np.minimum(h[:-s], h[s:]), 2 * s
@@ -101,12 +114,18 @@ def runs(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(start, pieces) + within * most, np.minimum(most, np.repeat(length, pieces) - within * most)
 
 
-def _shared_names(docs: DataFrame, width: int) -> DataFrame:
-    """(text_hash, names) of the texts with windows named like a window of another text."""
+def _shared_names(docs: DataFrame, twins: DataFrame, width: int) -> DataFrame:
+    """(text_hash, names) of the texts with windows named like a window of another text.
+
+    twins: hashes that different texts have; all names of those texts count as shared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1, SLICE):
-            hashes, at = np.unique(b.column(0).to_numpy(), return_index=True)  # equal texts are one
+            hashes, twin = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
+            _, at = np.unique(hashes, return_index=True)  # equal texts are one
+            at = np.union1d(at, np.flatnonzero(twin))
+            hashes, twin = hashes[at], twin[at]
             texts = [(b.column(1)[k].as_py() or "").encode() for k in at.tolist()]
             names, owners = [], []
             for first, own, _, _, name in named_runs(texts, width):
@@ -120,14 +139,20 @@ def _shared_names(docs: DataFrame, width: int) -> DataFrame:
             first = np.append(True, name[1:] != name[:-1])
             row = np.append(True, (name[1:] != name[:-1]) | (owner[1:] != owner[:-1]))
             group = np.cumsum(first) - 1
-            several = (np.add.reduceat(row.astype(np.int64), np.flatnonzero(first)) > 1)[group]
+            begins = np.flatnonzero(first)
+            several = ((np.add.reduceat(row.astype(np.int64), begins) > 1) | np.maximum.reduceat(twin[owner], begins))[group]
             # one row stands for a name in this batch; the others' answer is known already
             for kind, some in ((False, np.flatnonzero(first)), (True, np.flatnonzero(row & ~first))):
                 for k in range(0, len(some), 1 << 17):
                     part = some[k : k + (1 << 17)]
                     yield pa.RecordBatch.from_arrays([pa.array(name[part]), pa.array(hashes[owner[part]]), pa.array(several[part]), pa.array(np.full(len(part), kind))], ["name", "text_hash", "several", "known"])
 
-    rows = docs.where("doc_id is not null and text is not null").select("text_hash", "text").mapInArrow(run, "name long, text_hash long, several boolean, known boolean")
+    texts = docs.where("doc_id is not null and text is not null").select("text_hash", "text")
+    if twins.isEmpty():
+        texts = texts.withColumn("twin", F.lit(False))
+    else:
+        texts = texts.join(twins.withColumn("twin", F.lit(True)), "text_hash", "left").select("text_hash", "text", F.coalesce("twin", F.lit(False)).alias("twin"))
+    rows = texts.mapInArrow(run, "name long, text_hash long, several boolean, known boolean")
     # names known to be shared pass with keys of their own, so that a hot name is not one group
     rows = rows.withColumn("key", F.when(F.col("known"), F.xxhash64("name", "text_hash")).otherwise(F.col("name")))
     same = Window.partitionBy("key", "known")
@@ -191,10 +216,38 @@ def _segments(docs: DataFrame, shared: DataFrame, width: int) -> DataFrame:
                     ["name", "seg_hash", "doc_id", "text_hash", "start", "segment", "owner"],
                 )
 
-    joined = docs.where("text is not null").join(shared, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "names")
+    joined = docs.where("text is not null").join(shared, ["doc_id", "text_hash", "digest"]).select("doc_id", "text_hash", "text", "names")
     return joined.mapInArrow(run, "name long, seg_hash long, doc_id long, text_hash long, start long, segment binary, owner long")
 
 
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A rolling hash of every window of a byte array; equal windows have equal ones."""
+    powers = np.full(len(data) + 1, ODD, U64)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    inverse = np.full(len(data) + 1, pow(ODD, -1, 1 << 64), U64)
+    inverse[0] = 1
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(data + U64(1)) * powers[:-1], dtype=U64)])
+    return (total[width:] - total[:-width]) * np.multiply.accumulate(inverse)[: len(data) - width + 1]
+
+
+def comparable(segments: list[bytes], width: int) -> np.ndarray:
+    """Which segments have a window whose hash occurs twice, here or in another segment."""
+    sizes = np.array([len(s) for s in segments])
+    ends = np.cumsum(sizes)
+    windows = sizes - width + 1
+    segment = np.repeat(np.arange(len(segments)), windows)
+    place = np.arange(len(segment)) + np.repeat(ends - sizes - np.cumsum(windows) + windows, windows)
+    hashes = window_hashes(np.frombuffer(b"".join(segments), np.uint8), width)[place]
+    order = hashes.argsort()
+    hashes = hashes[order]
+    twice = np.append(False, hashes[1:] == hashes[:-1])
+    twice[:-1] |= twice[1:]
+    out = np.zeros(len(segments), bool)
+    out[segment[order[twice]]] = True
+    return out
+
+
 def shard_first_documents(segments: list[bytes], owners: np.ndarray, width: int) -> list[np.ndarray]:
     """For each segment, the smallest owner of each of its windows, over all segments."""
     sizes = np.array([len(s) for s in segments])
@@ -219,21 +272,12 @@ def shard_first_documents(segments: list[bytes], owners: np.ndarray, width: int)
     return [first[e - n - 1 : e - width] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
-def _first_documents(segments: DataFrame, width: int) -> DataFrame:
-    """(name, seg_hash, at, windows, first): the smallest document of runs of a segment's windows."""
-    pieces = segments.where("segment is not null").select("name", "seg_hash", "segment", "owner")
-    # written first, so that its size is known: a small table spares the pieces a shuffle
-    many = materialise(pieces.groupBy("name").count().where(F.col("count") > MANY_SEGMENTS).select("name", F.lit(True).alias("many")), "many")
+FIRST = "name long, seg_hash long, at long, windows long, first long"
+PIECES = "shard long, name long, seg_hash long, at long, segment binary, owner long"
 
-    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for name, seg_hash, piece, owner in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                fine = window_names(np.frombuffer(piece, np.uint8), width, FINE_GRAM)
-                for s, n in zip(*(x.tolist() for x in runs(fine, SEGMENT_WINDOWS)), strict=True):
-                    out.append((int(mix(fine[s : s + 1] ^ U64(name % (1 << 64)))[0].view(np.int64)), name, seg_hash, s, piece[s : s + n + width - 1], owner))
-            types = [pa.int64()] * 4 + [pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["shard", "name", "seg_hash", "at", "segment", "owner"])
+
+def _settled(dealt: DataFrame, width: int) -> DataFrame:
+    """(name, seg_hash, at, windows, first) from pieces (shard, name, seg_hash, at, segment, owner)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # distinct segments of whole shards, each with its smallest owner
@@ -242,7 +286,7 @@ def _first_documents(segments: DataFrame, width: int) -> DataFrame:
         size, shard = 0, None
 
         def close_group():
-            """A shard's segments go to the suffix array, but for a segment without any other."""
+            """A shard's segments are held for an array, but for a segment without any other."""
             nonlocal size
             rows = [(*key, owner) for key, owner in group.items()]
             group.clear()
@@ -258,17 +302,19 @@ def _first_documents(segments: DataFrame, width: int) -> DataFrame:
                     close_group() if group else None
                     shard = s
                     if size >= SHARD_BYTES:
-                        yield settle(held)
+                        yield from settle(held)
                         held, size = [], 0
                     if len(lone) >= 20_000:
                         yield alone(lone)
                         lone = []
                 key = (name, seg_hash, at, segment)
-                group[key] = min(owner, group.get(key, owner))
+                known = group.get(key)
+                if known is None or owner < known:
+                    group[key] = owner
         if group:
             close_group()
         if held:
-            yield settle(held)
+            yield from settle(held)
         if lone:
             yield alone(lone)
 
@@ -278,7 +324,13 @@ def _first_documents(segments: DataFrame, width: int) -> DataFrame:
         rows = [(name, seg_hash, at, len(segment) - width + 1, owner) for name, seg_hash, at, segment, owner in lone]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-    def settle(held: list[tuple]) -> pa.RecordBatch:
+    def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        some = comparable([h[3] for h in held], width)
+        if not some.all():
+            yield alone([h for h, x in zip(held, some.tolist(), strict=True) if not x])
+        held = [h for h, x in zip(held, some.tolist(), strict=True) if x]
+        if not held:
+            return
         firsts = shard_first_documents([h[3] for h in held], np.array([h[4] for h in held], np.int64), width)
         first = np.concatenate(firsts)
         own = np.repeat(np.arange(len(held)), [len(f) for f in firsts])
@@ -286,13 +338,76 @@ def _first_documents(segments: DataFrame, width: int) -> DataFrame:
         start = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (own[1:] != own[:-1])))
         name, seg_hash, offset = (np.array([h[k] for h in held], np.int64)[own[start]] for k in range(3))
         length = np.diff(np.append(start, len(first)))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (name, seg_hash, offset + at[start], length, first[start])], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (name, seg_hash, offset + at[start], length, first[start])], names)
 
-    marked = pieces.join(many, "name", "left").select("name", "seg_hash", "segment", "owner", "many")
-    split = pieces.join(many, "name", "left_semi").select("name", "seg_hash", "segment", "owner").mapInArrow(finer, "shard long, name long, seg_hash long, at long, segment binary, owner long")
-    plain = marked.where("many is null").select(F.col("name").alias("shard"), "name", "seg_hash", F.lit(0).cast("long").alias("at"), "segment", "owner")
-    dealt = plain.unionByName(split)
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "name long, seg_hash long, at long, windows long, first long")
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, FIRST)
+
+
+def _finer(pieces: DataFrame, width: int) -> DataFrame:
+    """Pieces of segments by a finer minimiser, which with the name is their shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for name, seg_hash, piece, owner in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                fine = window_names(np.frombuffer(piece, np.uint8), width, FINE_GRAM)
+                for s, n in zip(*(x.tolist() for x in runs(fine, SEGMENT_WINDOWS)), strict=True):
+                    out.append((int(mix(fine[s : s + 1] ^ U64(name % (1 << 64)))[0].view(np.int64)), name, seg_hash, s, piece[s : s + n + width - 1], owner))
+            yield _pieces(out)
+
+    return pieces.select("name", "seg_hash", "segment", "owner").mapInArrow(run, PIECES)
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [c.split()[0] for c in PIECES.split(", ")])
+
+
+def _by_window(pieces: DataFrame, width: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What _settled gives, window by window, for pieces of shards with very many of them; and the tables it reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for shard, name, seg_hash, at, piece, owner in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out += [(shard, name, seg_hash, at + k, piece[k : k + width], owner) for k in range(len(piece) - width + 1)]
+                if len(out) >= 1 << 16:
+                    yield _pieces(out)
+                    out = []
+            yield _pieces(out)
+
+    each = materialise(pieces.mapInArrow(run, PIECES).drop("shard"), "windows")
+    answers = materialise(each.groupBy("segment").agg(F.min("owner").alias("first"), F.count("*").alias("n")), "answers")
+    common = answers.where(F.col("n") > MANY_SEGMENTS).orderBy(F.desc("n"), "segment").limit(COMMON_WINDOWS).select("segment", "first")
+    common = materialise(common, "common")
+    known = F.broadcast(common)  # at most COMMON_WINDOWS rows
+    rest = each.join(known, "segment", "left_anti").join(answers.select("segment", "first"), "segment")
+    out = rest.unionByName(each.join(known, "segment"))
+    return out.select("name", "seg_hash", "at", F.lit(1).cast("long").alias("windows"), "first"), [each, answers, common]
+
+
+def _many(pieces: DataFrame, column: str) -> DataFrame:
+    """The values with over MANY_SEGMENTS pieces. Written, so that its size is known: a small table spares the pieces a shuffle."""
+    return materialise(pieces.groupBy(column).count().where(F.col("count") > MANY_SEGMENTS).select(column, F.lit(True).alias("many")), "many")
+
+
+def _first_documents(segments: DataFrame, width: int) -> DataFrame:
+    """(name, seg_hash, at, windows, first): the smallest document of runs of a segment's windows."""
+    pieces = segments.where("segment is not null").select(F.col("name").alias("shard"), "name", "seg_hash", F.lit(0).cast("long").alias("at"), "segment", "owner")
+    many = _many(pieces, "shard")
+    if many.isEmpty():
+        discard(many)
+        return materialise(_settled(pieces, width), "first")
+    fine = materialise(_finer(pieces.join(many, "shard", "left_semi"), width), "fine")
+    still = _many(fine, "shard")
+    plain = pieces.join(many, "shard", "left_anti").unionByName(fine.join(still, "shard", "left_anti"))
+    found, read = _settled(plain.select(*pieces.columns), width), []
+    if not still.isEmpty():
+        more, read = _by_window(fine.join(still, "shard", "left_semi").select(*pieces.columns), width)
+        found = found.unionByName(more)
+    out = materialise(found, "first")
+    discard(many, fine, still, *read)
+    return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -307,23 +422,25 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def spans(docs: DataFrame, width: int = 50) -> DataFrame:
-    """(doc_id, text_hash, spans array<struct<a,b>>, whole) for rows that lose bytes.
+    """(doc_id, text_hash, digest, spans array<struct<a,b>>, whole) for rows that lose bytes.
 
-    docs: (doc_id, text, text_hash). Of equal texts only the one with the smallest id is cut into
-    segments; the others are `whole`: every window of theirs is in an earlier document.
+    docs: (doc_id, text, text_hash, digest). Of equal texts only the one with the smallest id is cut
+    into segments; the others are `whole`, and have a digest here: every window of theirs is in an
+    earlier document.
     """
-    rows = materialise(docs.where("doc_id is not null").select("doc_id", "text_hash"), "rows")
-    reps = rows.groupBy("text_hash").agg(F.min("doc_id").alias("rep"))
-    names = materialise(_shared_names(docs, width), "names")
+    rows = materialise(docs.where("doc_id is not null").select("doc_id", "text_hash", "digest"), "rows")
+    reps = rows.groupBy("text_hash", "digest").agg(F.min("doc_id").alias("rep"))
+    twins = materialise(reps.groupBy("text_hash").count().where("count > 1").select("text_hash"), "twins")
+    names = materialise(_shared_names(docs, twins, width), "names")
     segments = materialise(_segments(docs, names.join(reps.withColumnRenamed("rep", "doc_id"), "text_hash"), width), "segments")
-    first = materialise(_first_documents(segments, width), "first")
+    first = _first_documents(segments, width)
     taken = segments.select("name", "seg_hash", "doc_id", "text_hash", "start").join(first, ["name", "seg_hash"]).where("first < doc_id")
     begin = F.col("start") + F.col("at")
     each = taken.select("doc_id", "text_hash", F.struct(begin.alias("a"), (begin + F.col("windows") + width - 1).alias("b")).alias("span"))
     found = each.groupBy("doc_id", "text_hash").agg(F.collect_list("span").alias("spans"), F.lit(False).alias("whole"))
-    copies = rows.join(reps, "text_hash").where("doc_id > rep").select("doc_id", "text_hash", F.lit(True).alias("whole")).distinct()
+    copies = rows.join(reps, ["text_hash", "digest"]).where("doc_id > rep").select("doc_id", "text_hash", "digest", F.lit(True).alias("whole")).distinct()
     out = materialise(found.unionByName(copies, allowMissingColumns=True), "spans")
-    discard(rows, names, segments, first)
+    discard(rows, twins, names, segments, first)
     return out
 
 
@@ -334,15 +451,22 @@ def _gone(raw: bytes, found: list[dict] | None, whole: bool | None, width: int)
     return merged([(s["a"], s["b"]) for s in found or []])
 
 
-def _hashed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+def _marked(rows: DataFrame, width: int) -> DataFrame:
+    """rows, with the columns doc_id, text, text_hash and digest, and what each one loses."""
+    found = spans(rows.select("doc_id", "text", "text_hash", "digest"), width)
+    same = (rows["doc_id"] == found["doc_id"]) & (rows["text_hash"] == found["text_hash"]) & (found["digest"].isNull() | (rows["digest"] == found["digest"]))
+    return rows.join(found, same, "left").select(*[rows[c] for c in rows.columns], found["spans"], found["whole"])
+
+
+def _keys(id_col: str, text_col: str) -> list[F.Column]:
     text = F.col(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), *more)
+    digest = F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+    return [F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), digest.alias("digest")]
 
 
 def digests(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    hashed = _hashed(docs, id_col, text_col)
-    joined = hashed.join(spans(hashed, width), ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans", "whole")
+    joined = _marked(docs.select(*_keys(id_col, text_col)), width).select("doc_id", "text", "spans", "whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -361,20 +485,18 @@ def digests(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col:
 
 
 def remove(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs with the repeated passages cut out of the text.
+    """All columns of docs, whatever their names, with the repeated passages cut out of the text.
 
     A cut that falls inside a UTF-8 character widens to the whole character, so the text stays valid.
     """
-    hashed = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
-    found = spans(_hashed(docs, id_col, text_col), width).toDF("__id", "__other", "__spans", "__whole")
-    joined = hashed.join(found, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__hash") == F.col("__other")), "left").drop("__id", "__other", "__hash")
-    names = docs.columns
-    place = names.index(text_col)
+    place = docs.columns.index(text_col)
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if k != place], F.lit(0).alias("none"))
+    joined = _marked(docs.select(*_keys(id_col, text_col), rest.alias("rest")), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, some, whole in zip(b.column(place), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            for text, some, whole in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 text = text.as_py()
                 if text and (some or whole):
                     raw, at, kept = text.encode(), 0, []
@@ -383,8 +505,8 @@ def remove(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: s
                         at = e
                     text = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
                 texts.append(text)
-            columns = b.columns[:-2]
-            columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(3)], ["text", "rest"])
 
-    return joined.mapInArrow(run, docs.schema)
+    taken = joined.select("text", "spans", "whole", "rest")
+    out = taken.mapInArrow(run, taken.select("text", "rest").schema)
+    return out.select(*[(F.col("text") if k == place else F.col(f"rest.c{k}")).alias(c) for k, c in enumerate(docs.columns)])

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -56,6 +57,58 @@ def test_many_segments_of_a_name(spark, monkeypatch):
     check(spark, corpus(2, 80))
 
 
+def test_a_line_in_all_texts(spark, monkeypatch):
+    """The finer minimiser can't split such a line's segments; windows go one by one."""
+    monkeypatch.setattr(suffix_dedup, "MANY_SEGMENTS", 20)
+    r = random.Random(7)
+    other = lambda n: "".join(r.choices("abcdefghij ", k=n))
+    for length, common in ((60, 5), (60, 0), (90, 50_000)):
+        monkeypatch.setattr(suffix_dedup, "COMMON_WINDOWS", common)
+        line = "".join(r.choices("KLMNOPQRST ", k=length))
+        check(spark, [(i, other(r.randint(40, 90)) + line + other(r.randint(40, 90))) for i in range(150)])
+
+
+def test_texts_with_one_hash_are_told_apart(spark, monkeypatch):
+    keys = suffix_dedup._keys
+    monkeypatch.setattr(suffix_dedup, "_keys", lambda *a: [*keys(*a)[:2], (keys(*a)[2] % 4).alias("text_hash"), keys(*a)[3]])
+    check(spark, corpus(5, 60))
+
+
+def test_texts_in_small_slices(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", 3_000)
+    check(spark, corpus(6, 80))
+    rows = corpus(3)
+    texts = [t.encode() for _, t in rows]
+    whole = [tuple(map(int, r)) for at, own, *more in suffix_dedup.named_runs(texts, 50) for r in zip(own + at, *more)]
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
+    assert [tuple(map(int, r)) for at, own, *more in suffix_dedup.named_runs(texts, 50) for r in zip(own + at, *more)] == whole
+
+
+def test_comparable_segments_have_a_window_twice():
+    r = random.Random(2)
+    segments = [("".join(r.choices("ab", k=r.randint(8, 14)))).encode() for _ in range(40)]
+    count = {}
+    for s in segments:
+        for k in range(len(s) - 7):
+            count[s[k : k + 8]] = count.get(s[k : k + 8], 0) + 1
+    expected = [any(count[s[k : k + 8]] > 1 for k in range(len(s) - 7)) for s in segments]
+    assert suffix_dedup.comparable(segments, 8).tolist() == expected and len(set(expected)) == 2
+
+
+def test_periods_and_runs_cost_no_more():
+    """Steps of a scan do not follow runs or periods symbol by symbol."""
+    r = np.random.default_rng(1)
+    seconds = {}
+    for name, t in {"random": r.integers(1, 27, 100_000), "one symbol": np.ones(100_000, int), "two": np.tile([1, 2], 50_000), "seven": np.tile([3, 1, 2, 5, 4, 2, 6], 14_286)}.items():
+        times = []
+        for _ in range(3):
+            began = time.perf_counter()
+            suffix_array(np.append(t, 0))
+            times.append(time.perf_counter() - began)
+        seconds[name] = min(times) / len(t)
+    assert max(seconds.values()) < 3 * seconds["random"], seconds
+
+
 def test_awkward_rows(spark):
     docs = documents(spark, [(300, TEXTS[7] + BASE, "fr", None, None, None, None), (301, TEXTS[7] + BASE, "fr", None, None, None, None), (302, BASE, "", "", 0, 0, ""), (302, BASE + "x", "", "", 0, 0, "")])
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
@@ -66,3 +119,7 @@ def test_awkward_rows(spark):
     kept = suffix_dedup.remove(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert {r["text"] for r in kept.where("doc_id in (1, 301)").collect()} == {""}
+    inner = ["__hash", "__id", "spans", "whole", "rest", "digest", "text_hash", "none"]
+    clash = docs.selectExpr("doc_id", "text", *[f"{k} as `{c}`" for k, c in enumerate(inner)])
+    assert sorted(map(str, suffix_dedup.remove(clash).select("doc_id", "text").collect())) == sorted(map(str, kept.select("doc_id", "text").collect()))
+    assert {tuple(r)[2:] for r in suffix_dedup.remove(clash).collect()} == {tuple(range(len(inner)))}
