@@ -15,8 +15,8 @@ it, so equal windows of any documents have one name. The steps:
 No shard grows with the corpus: a name with more than MANY_SEGMENTS segments is split by a finer
 minimiser, and where a part still has more (a common line in many texts, with different neighbours),
 its windows go one by one: each distinct window is aggregated to its smallest document, within
-tasks first, and the answers of windows that are common themselves are joined by broadcast, up to
-COMMON_WINDOWS of them. A segment goes into an array only if one of its windows has a hash that
+tasks first; answers that windows common themselves need are joined by broadcast, up to
+COMMON_WINDOWS of them, and neighbours with one answer become one row again. A segment goes into an array only if one of its windows has a hash that
 occurs twice among the segments of that array; what is left out has nothing to compare with.
 
 Each row is bounded by a document or a segment; a suffix array covers about SHARD_BYTES. Texts are
@@ -52,7 +52,7 @@ SLICE = 1 << 23
 #: Bytes of texts that are named at once.
 CHUNK = 1 << 18
 #: Windows of a segment; segments of a name (or of its finer part) from which on it is split.
-SEGMENT_WINDOWS, MANY_SEGMENTS = 256, 2_000
+SEGMENT_WINDOWS, MANY_SEGMENTS = 256, 5_000
 #: Answers of common windows that are broadcast at most; windows beyond are joined by shuffling.
 COMMON_WINDOWS = 50_000
 ODD = 0x9E3779B97F4A7C15
@@ -318,11 +318,9 @@ def _settled(dealt: DataFrame, width: int) -> DataFrame:
         if lone:
             yield alone(lone)
 
-    names = ["name", "seg_hash", "at", "windows", "first"]
-
     def alone(lone: list[tuple]) -> pa.RecordBatch:
         rows = [(name, seg_hash, at, len(segment) - width + 1, owner) for name, seg_hash, at, segment, owner in lone]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+        return _runs(rows)
 
     def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         some = comparable([h[3] for h in held], width)
@@ -338,7 +336,7 @@ def _settled(dealt: DataFrame, width: int) -> DataFrame:
         start = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (own[1:] != own[:-1])))
         name, seg_hash, offset = (np.array([h[k] for h in held], np.int64)[own[start]] for k in range(3))
         length = np.diff(np.append(start, len(first)))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (name, seg_hash, offset + at[start], length, first[start])], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (name, seg_hash, offset + at[start], length, first[start])], [c.split()[0] for c in FIRST.split(", ")])
 
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, FIRST)
 
@@ -364,9 +362,13 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _by_window(pieces: DataFrame, width: int) -> tuple[DataFrame, list[DataFrame]]:
-    """What _settled gives, window by window, for pieces of shards with very many of them; and the tables it reads."""
+    """What _settled gives, for pieces of shards with very many of them; and the tables it reads.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Every piece has its smallest owner as the first document of all its windows; where a window is in
+    other pieces too, and one of them has a smaller owner, further rows say so.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for shard, name, seg_hash, at, piece, owner in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -376,14 +378,36 @@ def _by_window(pieces: DataFrame, width: int) -> tuple[DataFrame, list[DataFrame
                     out = []
             yield _pieces(out)
 
-    each = materialise(pieces.mapInArrow(run, PIECES).drop("shard"), "windows")
-    answers = materialise(each.groupBy("segment").agg(F.min("owner").alias("first"), F.count("*").alias("n")), "answers")
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, out = None, []
+        for b in batches:
+            for name, seg_hash, at, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if last and (name, seg_hash, first) == (last[0], last[1], last[4]) and at == last[2] + last[3]:
+                    last[3] += 1
+                else:
+                    last = [name, seg_hash, at, 1, first]
+                    out.append(last)
+            if len(out) > 1 << 16:
+                yield _runs(out[:-1])
+                out = [last]
+        if out:
+            yield _runs(out)
+
+    each = materialise(pieces.mapInArrow(cut, PIECES).drop("shard"), "windows")
+    several = each.groupBy("segment").agg(F.min("owner").alias("first"), F.max("owner").alias("most"), F.count("*").alias("n")).where("first < most")
+    answers = materialise(several.drop("most"), "answers")
     common = answers.where(F.col("n") > MANY_SEGMENTS).orderBy(F.desc("n"), "segment").limit(COMMON_WINDOWS).select("segment", "first")
     common = materialise(common, "common")
     known = F.broadcast(common)  # at most COMMON_WINDOWS rows
     rest = each.join(known, "segment", "left_anti").join(answers.select("segment", "first"), "segment")
-    out = rest.unionByName(each.join(known, "segment"))
-    return out.select("name", "seg_hash", "at", F.lit(1).cast("long").alias("windows"), "first"), [each, answers, common]
+    found = rest.unionByName(each.join(known, "segment")).where("first < owner")
+    ordered = found.repartition("name", "seg_hash").sortWithinPartitions("name", "seg_hash", "at").select("name", "seg_hash", "at", "first")
+    own = pieces.select("name", "seg_hash", "at", (F.length("segment") - width + 1).cast("long").alias("windows"), F.col("owner").alias("first"))
+    return own.unionByName(ordered.mapInArrow(join_up, FIRST)), [each, answers, common]
+
+
+def _runs(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [c.split()[0] for c in FIRST.split(", ")])
 
 
 def _many(pieces: DataFrame, column: str) -> DataFrame:
