@@ -53,21 +53,49 @@ def brute_top(rows, k):
     return sorted(out)
 
 
-def test_topk_against_brute_force(spark, monkeypatch):
-    df = vectors(spark)
-    expected = brute_top(df.collect(), 5)
-    assert sorted(map(tuple, topk.search(df).collect())) == expected
-    monkeypatch.setattr(topk, "BLOCK", 64)
-    monkeypatch.setattr(topk, "CELL_BLOCKS", 1)
-    assert sorted(map(tuple, topk.search(df.repartition(3)).collect())) == expected
+@pytest.mark.parametrize(("block", "query_block", "blocks", "queries"), [(8192, 256, 4, 16), (64, 2, 1, 1), (7, 3, 2, 2)])
+def test_topk_against_brute_force(spark, monkeypatch, block, query_block, blocks, queries):
+    for name, n in zip(("BLOCK", "QUERY_BLOCK", "CELL_BLOCKS", "CELL_QUERIES"), (block, query_block, blocks, queries), strict=True):
+        monkeypatch.setattr(topk, name, n)
+    df = vectors(spark).repartition(3)
+    assert sorted(map(tuple, topk.search(df).collect())) == brute_top(df.collect(), 5)
     assert topk.search(empty(df)).count() == 0
 
 
+def test_topk_with_wide_cells_and_ties(spark):
+    """Components over ranges of many cells, many equal vectors, and queries that repeat an id."""
+    r = np.random.default_rng(11)
+    v = r.integers(-200, 200, (400, 3)).astype(float)
+    rows = [(i, [float(x) for x in v[i % 40 if i % 3 else i]]) for i in range(400)] + [(0, [1.0, 1.0, 1.0]), (100, [float(x) for x in v[3]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as uid", "2 as rank").repartition(2)
+    assert sorted(map(tuple, topk.search(df, scale=1).collect())) == sorted((q, n, c, s // 65536) for q, n, c, s in brute_top(df.collect(), 5))
+
+
+def test_cells_bound_the_scores():
+    r = np.random.default_rng(4)
+    for high in (40, 3_000, 10**9):
+        q, v = r.integers(-high, high, (6, 5)).astype(float), r.integers(-high, high, (300, 5)).astype(float)
+        low, width, cells = topk.cells_of(v)
+        assert (v >= low + width * cells).all() and (v <= low + width * (cells + 1.0) - 1).all()
+        lower, upper, exact = topk.bounds(q, low, width, cells)
+        scores = q @ v.T
+        assert (lower <= scores).all() and (scores <= upper).all() and exact == (high == 40) == bool((lower == upper).all())
+
+
 def test_topk_with_huge_components(spark):
     df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e12, 5.0]), (2, [3e7, 7.0]), (50, [3e7, 1.0])], "vec_id long, embedding array<double>")
     rows = topk.search(df, k=2).collect()
     assert {(r["query_id"], r["rank"]) for r in rows} == {(0, 1), (0, 2), (50, 1), (50, 2)}
     assert [r["vec_id"] for r in rows if r["query_id"] == 50] == [0, 1]
+    rows = [(0, [1e308, -1e308]), (1, [1.7e308, 1e308]), (2, [1.0, 2.0]), (3, [-1e300, 1.0]), (50, [1e-3, -1e-3]), (100, [-2.0, 1e306])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(x * 256) if math.isfinite(x * 256) else int(x) * 256 for x in v] for i, v in rows}
+    clip = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    expected = []
+    for q in (0, 50, 100):
+        found = sorted((-clip(sum(a * b for a, b in zip(whole[q], v, strict=True))), i) for i, v in whole.items() if i != q)
+        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:3])]
+    assert sorted(map(tuple, topk.search(df, k=3).collect())) == expected
 
 
 def test_sharding(spark):
