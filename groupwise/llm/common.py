@@ -118,6 +118,12 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     return out
 
 
+def one_by_id(nodes: DataFrame, id_col: str, node_col: str) -> DataFrame:
+    """(a, b): links that make one of all nodes with an id; no row holds an id's nodes."""
+    least = nodes.groupBy(id_col).agg(F.min(node_col).alias("a"), F.max(node_col).alias("__most")).where(F.col("a") < F.col("__most"))
+    return nodes.join(least.drop("__most"), id_col).where(F.col(node_col) > F.col("a")).select("a", F.col(node_col).alias("b")).distinct()
+
+
 def _state(edges: DataFrame) -> tuple:
     """Count and order-free checksum of the edges; two equal rounds mean a fixed point."""
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()

@@ -1,98 +1,115 @@
 """Near-duplicate vectors by spherical-cap filters from structured random product codes.
 
-A unit vector is rotated (random signs and a Walsh-Hadamard transform) and cut into BLOCKS parts;
-each part has CODEWORDS random unit codewords, and a filter is one codeword for each part, so few
-codewords give CODEWORDS ** BLOCKS directions. A vector is list-decoded to all directions whose
-inner product exceeds a threshold (branch and bound over the parts), and to its LEAST best ones at
-least. Vectors of one label that share a filter are compared exactly, in double precision. The
-threshold is set so that a random vector exceeds EXPECTED filters on average.
-
-Equal vectors of a label are one class with a weight. A filter's rows are cut into blocks; pairs
-of blocks are compared as matrices and return, not pairs, but each class's number of links (a pair
-counts at the smallest filter it shares) and a spanning forest of its links.
+A unit vector is rotated (random signs and a Walsh-Hadamard transform) and cut into two parts; each
+part has random unit codewords, and a filter is one codeword for each part, so few codewords give
+their number squared as directions. A vector is list-decoded to all directions whose inner product
+exceeds a threshold (branch and bound over the parts), and to its LEAST best ones at least. Vectors
+of one label that share a filter are compared exactly, in double precision.
+
+The filters grow with the input: there are as many codewords as keep a filter at about BUCKET
+vectors of a label, between LEAST_CODEWORDS and MOST_CODEWORDS. For these, the number of filters
+that a random vector exceeds is the least of EXPECTED at which at most LOST of simulated pairs, just
+at the limit, share none; the threshold follows from it. What is broadcast is these codewords, for
+each length of vector.
+
+Equal vectors of a label are one class with a weight. A filter with more than ROWS classes is cut
+into blocks by a hash, each a task's unit of work; pairs of blocks are compared as matrices and
+return, not pairs, but each class's number of links (a pair counts at the smallest filter it shares)
+and a spanning forest of its links. Vectors travel as 4-byte floats where these are exact.
 
 Recall against brute force is tested to be above 0.95 at cosine 0.98; nothing below the limit is
 linked. Defined results: rows whose vector is null, empty, zero or holds null or non-finite
 components, or whose label is null, have no links and are their own component; a null id has no
 links, no component and null kept; rows repeating an id are one node of the components; vectors
-of different lengths are not compared; other columns are ignored; an empty table gives no rows.
+of different lengths are not compared; other columns are ignored, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groupwise.llm.common import components, discard, materialise
+from groupwise.llm.common import components, discard, materialise, one_by_id
 from groupwise.llm.jaccard_join import forest
 from groupwise.llm.topk import usable
 
-BLOCKS, CODEWORDS = 2, 192
-EXPECTED, LEAST = 10, 6
+LEAST_CODEWORDS, MOST_CODEWORDS, BUCKET = 192, 8192, 64
+EXPECTED, LEAST = (10, 14, 20, 28, 40, 56, 80), 6
+#: Share of simulated pairs at the limit that may share no filter, and the number of pairs.
+LOST, PAIRS = 0.002, 1000
 ROWS = 512
 
 
 class ProductCode:
-    """The filters for vectors of one length; the same on every executor."""
+    """The filters for vectors of one length."""
 
-    def __init__(self, dim: int, blocks: int = BLOCKS, codewords: int = CODEWORDS):
+    def __init__(self, dim: int, codewords: int = LEAST_CODEWORDS, limit: float = 0.98):
         r = np.random.default_rng(dim)
-        self.size = max(blocks, 1 << max(0, dim - 1).bit_length())
-        self.signs = r.choice([-1.0, 1.0], dim)
+        self.codewords, size = codewords, max(2, 1 << max(0, dim - 1).bit_length())
         h = np.ones((1, 1))
-        while len(h) < self.size:
+        while len(h) < size:
             h = np.block([[h, h], [h, -h]])
-        self.turn = (self.signs[:, None] * h[:dim]) / np.sqrt(len(h))
-        self.cuts = [round(k * self.size / blocks) for k in range(blocks + 1)]
-        self.codes = []
-        for a, b in zip(self.cuts, self.cuts[1:], strict=False):
-            c = r.normal(size=(codewords, b - a))
-            self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(blocks))
-        self.codewords = codewords
-        x = r.normal(size=(400, dim))
-        sums = self._sums(x / np.linalg.norm(x, axis=1, keepdims=True))
-        every = sums[0]
-        for s in sums[1:]:
-            every = (every[:, :, None] + s[:, None, :]).reshape(len(every), -1)
-        self.threshold = float(np.quantile(every, 1 - EXPECTED / every.shape[1]))
+        self.turn = (r.choice([-1.0, 1.0], dim)[:, None] * h[:dim]) / np.sqrt(len(h))
+        self.cut, self.codes = size // 2, []
+        for width in (self.cut, size - self.cut):
+            c = r.normal(size=(codewords, width))
+            self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(2))
+        x, y = r.normal(size=(2, PAIRS, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(1, keepdims=True) * x
+        far = np.linalg.norm(y, axis=1, keepdims=True)
+        y = np.where(far > 1e-9, limit * x + sqrt(max(0.0, 1 - limit * limit)) * y / np.maximum(far, 1e-9), x)
+        some = [np.sort(s[:200], axis=1) for s in self._sums(x)]
+        for expected in EXPECTED:
+            self.threshold = self._threshold(some, min(expected, codewords * codewords))
+            lost = sum(not len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(self.filters(x), self.filters(y), strict=True))
+            if lost <= LOST * PAIRS:
+                break
+
+    @staticmethod
+    def _threshold(sums: list[np.ndarray], expected: int) -> float:
+        """The bar that `expected` pairs of codewords exceed on average; rows of both sums ascend."""
+        low, high = -2.0, 2.0
+        for _ in range(30):
+            middle = (low + high) / 2
+            above = sum(b.size * 1.0 - np.searchsorted(b, middle - a).mean() for a, b in zip(*sums, strict=True)) * sums[0].shape[1] / len(sums[0])
+            low, high = (middle, high) if above > expected else (low, middle)
+        return low
 
     def _sums(self, unit: np.ndarray) -> list[np.ndarray]:
         turned = unit @ self.turn
-        return [turned[:, a:b] @ c.T for a, b, c in zip(self.cuts, self.cuts[1:], self.codes, strict=False)]
+        return [turned[:, : self.cut] @ self.codes[0].T, turned[:, self.cut :] @ self.codes[1].T]
 
     def _decode(self, sums: list[np.ndarray], rows: np.ndarray, threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, filter, inner product) of all directions above each row's threshold."""
-        best = [s.max(1) for s in sums]
-        row, code, value = rows, np.zeros(len(rows), np.int64), np.zeros(len(rows))
-        for k, s in enumerate(sums):
-            rest = sum((b[row] for b in best[k + 1 :]), np.zeros(len(row)))
-            total = value[:, None] + s[row]
-            i, c = np.nonzero(total + rest[:, None] >= threshold[row][:, None])
-            row, code, value = row[i], code[i] * self.codewords + c, total[i, c]
-        return row, code, value
+        best = sums[1].max(1)
+        i, c = np.nonzero(sums[0][rows] + best[rows][:, None] >= threshold[rows][:, None])
+        row, value = rows[i], sums[0][rows[i], c]
+        total = value[:, None] + sums[1][row]
+        j, d = np.nonzero(total >= threshold[row][:, None])
+        return row[j], c[j] * self.codewords + d, total[j, d]
 
     def filters(self, unit: np.ndarray) -> list[np.ndarray]:
         """Sorted filters of every row of unit vectors."""
         out: list[np.ndarray] = []
-        for at in range(0, len(unit), 256):
-            sums = self._sums(unit[at : at + 256])
+        for at in range(0, len(unit), 64):
+            sums = self._sums(unit[at : at + 64])
             n = len(sums[0])
             limit = np.full(n, self.threshold)
             row, code, value = self._decode(sums, np.arange(n), limit)
             count = np.bincount(row, minlength=n)
-            while len(few := np.flatnonzero(count < LEAST)):  # lower the bar for these alone
+            while len(few := np.flatnonzero(count < min(LEAST, self.codewords**2))):  # lower the bar for these alone
                 limit[few] -= 0.1 * abs(self.threshold) + 1e-3
                 more = self._decode(sums, few, limit)
                 keep = ~np.isin(row, few)
                 row, code, value = (np.concatenate([a[keep], b]) for a, b in zip((row, code, value), more, strict=True))
                 count = np.bincount(row, minlength=n)
-                if (limit[few] < -2).any():
-                    break
             order = np.lexsort((-value, row))
             row, code, value = row[order], code[order], value[order]
             place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -103,13 +120,17 @@ class ProductCode:
         return out
 
 
-@lru_cache(maxsize=8)
-def product_code(dim: int) -> ProductCode:
-    return ProductCode(dim)
+def codewords_for(n: int) -> int:
+    """How many codewords keep a filter of a label with n classes at about BUCKET of them."""
+    return min(MOST_CODEWORDS, max(LEAST_CODEWORDS, ceil(sqrt(n * EXPECTED[1] / BUCKET))))
 
 
-def _filter_rows(classes: DataFrame) -> DataFrame:
-    """A row for each class and filter: the vector, its weight, and all its filters."""
+def _filter_rows(classes: DataFrame, limit: float) -> DataFrame:
+    """classes with their vector as bytes and their filters, as a list and as bytes."""
+    dim = F.size("embedding").alias("dim")
+    most = classes.groupBy(dim, "label").count().groupBy("dim").agg(F.max("count").alias("n"))
+    codes = {r["dim"]: ProductCode(r["dim"], codewords_for(r["n"]), limit) for r in most.collect()}  # a row for each length of vector
+    codes = classes.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,53 +143,65 @@ def _filter_rows(classes: DataFrame) -> DataFrame:
                 for at in range(0, len(rows), 1024):
                     some = rows[at : at + 1024]
                     v = flat[ends[some][:, None] + np.arange(dim)]
-                    found = product_code(int(dim)).filters(v / np.linalg.norm(v, axis=1, keepdims=True))
-                    own = np.repeat(np.arange(len(some)), [len(f) for f in found])
-                    raw, names = [x.tobytes() for x in v], [f.tobytes() for f in found]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(label[some][own]), pa.array(np.full(len(own), dim, np.int64)), pa.array(np.concatenate(found)), pa.array(uid[some][own]), pa.array(rep[some][own]), pa.array(weight[some][own]), pa.array([raw[i] for i in own], pa.binary()), pa.array([names[i] for i in own], pa.binary())],
-                        ["label", "dim", "filter", "uid", "rep", "weight", "vector", "filters"],
-                    )
+                    found = [f.astype(np.int32) for f in codes.value[int(dim)].filters(unit(v))]
+                    columns = [pa.array(x[some]) for x in (uid, rep, weight, label)] + [pa.array(np.full(len(some), dim, np.int32))]
+                    columns += [pa.array([packed(x) for x in v], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary()), pa.array([f.tolist() for f in found], pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["uid", "rep", "weight", "label", "dim", "vector", "names", "filters"])
+
+    return classes.select("uid", "rep", "weight", "label", "embedding").mapInArrow(run, "uid long, rep long, weight long, label long, dim int, vector binary, names binary, filters array<int>")
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; scaled by their largest component first, so that squares stay finite."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
 
-    return classes.select("uid", "rep", "weight", "label", "embedding").mapInArrow(run, "label long, dim long, filter long, uid long, rep long, weight long, vector binary, filters binary")
+def packed(x: np.ndarray) -> bytes:
+    """A vector's bytes: four a component where that is exact, else eight."""
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    return (short if (short == x).all() else x).tobytes()
+
+
+def unpacked(x: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(x, np.float32 if len(x) == 4 * dim else np.float64).astype(np.float64)
 
 
 class Block:
     """Rows of one filter, as arrays."""
 
-    def __init__(self, name: int, uids, reps, weights, vectors: bytes, filters: list[bytes]):
+    def __init__(self, name: int, dim: int, uids, reps, weights, vectors: list[bytes], filters: list[bytes]):
         self.name, self.uids, self.reps, self.weights = name, np.asarray(uids, np.int64), np.asarray(reps, np.int64), np.asarray(weights, np.int64)
-        self.vectors = np.frombuffer(vectors).reshape(len(self.uids), -1)
-        self.norms = np.linalg.norm(self.vectors, axis=1)
-        self.filters = filters
+        self.units = unit(np.stack([unpacked(v, dim) for v in vectors]))
+        self.filters = [np.frombuffer(f, np.int32) for f in filters]
 
-    def earlier(self, known: dict[int, int]) -> np.ndarray:
+    def earlier(self, known: np.ndarray) -> np.ndarray:
         """0/1 matrix of the filters before this one that each row has."""
         m = np.zeros((len(self.uids), len(known)), np.float32)
         for i, f in enumerate(self.filters):
-            m[i, [known[x] for x in np.frombuffer(f, np.int64).tolist() if x < self.name]] = 1
+            m[i, np.searchsorted(known, f[f < self.name])] = 1
         return m
 
 
 def compare(a: Block, b: Block, limit: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(uid, links counted here) and forest links of a block with itself or another of its filter."""
-    cosine = (a.vectors @ b.vectors.T) / (a.norms[:, None] * b.norms[None, :])
-    linked = cosine >= limit
+    linked = a.units @ b.units.T >= limit
     if a is b:
         np.fill_diagonal(linked, False)
     if not linked.any():
         return [], []
-    names = {x for side in (a, b) for f in side.filters for x in np.frombuffer(f, np.int64).tolist() if x < a.name}
-    known = {x: k for k, x in enumerate(sorted(names))}
-    counted = linked & ~((a.earlier(known) @ b.earlier(known).T) > 0) if known else linked
+    known = np.unique(np.concatenate([*a.filters, *b.filters]))
+    known = known[known < a.name]
+    counted = linked & ~((a.earlier(known) @ b.earlier(known).T) > 0) if len(known) else linked
     counts = list(zip(a.uids.tolist(), (counted @ b.weights).tolist(), strict=True))
     if a is not b:
         counts += list(zip(b.uids.tolist(), (counted.T @ a.weights).tolist(), strict=True))
     return [c for c in counts if c[1]], forest(a.reps, b.reps, linked)
 
 
-OUT = "uid long, links long, a long, b long, label long, dim long, filter long, block long, uids binary, reps binary, weights binary, vectors binary, filters array<binary>"
-_TYPES = [pa.int64()] * 8 + [pa.binary()] * 4 + [pa.list_(pa.binary())]
+OUT = "uid long, links long, a long, b long, label long, dim int, filter int, block int, uids binary, reps binary, weights binary, vectors array<binary>, filters array<binary>"
+_TYPES = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()] * 3 + [pa.list_(pa.binary())] * 2
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
@@ -181,56 +214,60 @@ def _answers(counts: list[tuple], links: list[tuple]) -> list[tuple]:
 
 def links(classes: DataFrame, limit: float) -> DataFrame:
     """Rows of (uid, links) and of (a, b), from all blocks of all filters."""
-    key = Window.partitionBy("label", "dim", "filter")
-    rows = _filter_rows(classes).withColumn("block", F.floor((F.row_number().over(key.orderBy("uid")) - 1) / ROWS))
+    names, data = ["label", "dim", "filter"], ["uids", "reps", "weights", "vectors", "filters"]
+    decoded = materialise(_filter_rows(classes, limit), "decoded")
+    each = decoded.withColumn("filter", F.explode("filters")).drop("filters")
+    large = decoded.select("label", "dim", F.explode("filters").alias("filter")).groupBy(*names).count().where(F.col("count") > ROWS)
+    # at most a row for ROWS rows of `each`; written, so that its size is known
+    large = materialise(large.select(*names, F.ceil(F.col("count") / ROWS).alias("blocks")), "large")
+    block = F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("uid"), F.col("blocks"))).cast("int")
+    rows = each.join(large, names, "left").select(*names, block.alias("block"), "uid", "rep", "weight", "vector", "names")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out: list[tuple] = []
 
-        def settle(more: bool):
-            """more: whether the filter goes on after this block, so that it has several."""
-            first = held[0]
+        def settle():
+            key = held[0][:4]
+            columns = [[h[k] for h in held] for k in range(4, 9)]
             if len(held) > 1:
-                block = Block(first[2], [h[3] for h in held], [h[4] for h in held], [h[5] for h in held], b"".join(h[6] for h in held), [h[7] for h in held])
-                out.extend(_answers(*compare(block, block, limit)))
-            if more or first[8]:
-                packed = [np.array([h[k] for h in held], np.int64).tobytes() for k in (3, 4, 5)]
-                out.append((None, None, None, None, *first[:3], first[8], *packed, b"".join(h[6] for h in held), [h[7] for h in held]))
+                made = Block(key[2], key[1], *columns)
+                out.extend(_answers(*compare(made, made, limit)))
+            if key[3] is not None:
+                out.append((None, None, None, None, *key, *(np.array(c, np.int64).tobytes() for c in columns[:3]), *columns[3:]))
             held.clear()
 
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and (r[:3] != held[0][:3] or r[8] != held[0][8]):
-                    settle(r[:3] == held[0][:3])
+                if held and r[:4] != held[0][:4]:
+                    settle()
                 held.append(r)
             if out:
                 yield _emit(out)
                 out.clear()
         if held:
-            settle(False)
+            settle()
         if out:
             yield _emit(out)
 
-    first = materialise(rows.select("label", "dim", "filter", "uid", "rep", "weight", "vector", "filters", "block").mapInArrow(within, OUT), "filters")
-    blocks = first.where("block is not null").select("label", "dim", "filter", "block", "uids", "reps", "weights", "vectors", "filters")
-    names, data = ["label", "dim", "filter"], ["uids", "reps", "weights", "vectors", "filters"]
+    dealt = rows.repartition(*names, "block").sortWithinPartitions(*names, "block")
+    first = materialise(dealt.mapInArrow(within, OUT), "filters")
+    blocks = first.where("block is not null").select(*names, "block", *data)
     slim = blocks.select(*names, "block")
-    pairs = slim.withColumnRenamed("block", "i").join(slim.withColumnRenamed("block", "j"), names).where("i < j")
-    met = pairs
+    met = slim.withColumnRenamed("block", "i").join(slim.withColumnRenamed("block", "j"), names).where("i < j")
     for x in "ij":
         met = met.join(blocks.toDF(*names, x, *[f"{c}_{x}" for c in data]), [*names, x])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                a, c = (Block(r["filter"], *(np.frombuffer(r[f"{n}_{x}"], np.int64) for n in data[:3]), r[f"vectors_{x}"], r[f"filters_{x}"]) for x in "ij")
+                a, c = (Block(r["filter"], r["dim"], *(np.frombuffer(r[f"{n}_{x}"], np.int64) for n in data[:3]), r[f"vectors_{x}"], r[f"filters_{x}"]) for x in "ij")
                 if found := _answers(*compare(a, c, limit)):
                     yield _emit(found)
 
-    more = met.select("filter", *[f"{c}_{x}" for x in "ij" for c in data]).mapInArrow(across, OUT)
-    out = first.select("uid", "links", "a", "b").unionByName(more.select("uid", "links", "a", "b"))
-    out.scratch_path = first.scratch_path
+    more = met.select("filter", "dim", *[f"{c}_{x}" for x in "ij" for c in data]).mapInArrow(across, OUT)
+    out = materialise(first.select("uid", "links", "a", "b").where("block is null").unionByName(more.select("uid", "links", "a", "b")), "links")
+    discard(decoded, large, first)
     return out
 
 
@@ -244,12 +281,12 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.98, id_col: str = "vec_
     classes = materialise(grouped.withColumn("uid", F.monotonically_increasing_id()), "classes")
     of = rows.where("hash is not null").join(classes, ["hash", "label", "embedding"]).select("vec_id", "uid", "rep", "weight")
     of = materialise(of.unionByName(rows.where("hash is null").select("vec_id"), allowMissingColumns=True), "of")
-    found = materialise(links(classes, limit), "links")
-    repeated = of.where("rep is not null").groupBy("vec_id").agg(F.min("rep").alias("a"), F.max("rep").alias("m"), F.collect_set("rep").alias("reps")).where("a <> m").select("a", F.explode("reps").alias("b"))
-    component = components(found.where("a is not null").select("a", "b").unionByName(repeated)).toDF("rep", "component")
+    found = links(classes, limit)
+    component = components(found.where("a is not null").select("a", "b").unionByName(one_by_id(of, "vec_id", "rep")))
     counts = found.where("uid is not null").groupBy("uid").agg(F.sum("links").alias("links"))
-    discard(classes)
-    joined = of.join(counts, "uid", "left").join(component, "rep", "left")
+    joined = of.join(counts, "uid", "left").join(component.toDF("rep", "component"), "rep", "left")
     n = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))
     joined = joined.select("vec_id", n.cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "rep", "vec_id")).alias("component_id"))
-    return joined.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    out = materialise(joined.withColumn("kept", F.col("vec_id") == F.col("component_id")), "answer")
+    discard(classes, of, found, component)
+    return out
