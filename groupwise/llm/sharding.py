@@ -8,8 +8,15 @@ broadcast, and only one number a shard reaches the driver. At the end linked doc
 shard's even size are released, and free documents, large ones first, fill the shards to one
 level, so the law `bytes` holds: sizes are near equal.
 
+The only links of a document are its equal texts, so propagation runs on groups that are complete
+in themselves; what it decides is the shard of each group and which part of a group too large for
+its quota moves. Rows of groups with more than HOT documents are joined by broadcast (up to
+HOT_GROUPS of them, the largest), all others by shuffling on the group, so no task holds a large one.
+
 Defined results: null text has size 1, CRC 0 and is linked with other null or empty texts; null
-or repeated ids are placed row by row; an empty table gives no rows; other columns are ignored.
+or repeated ids are placed row by row; rows with equal ids and texts are told apart by their place
+in the input, which also settles ties; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +29,8 @@ from groupwise.llm.common import discard, materialise
 BUCKETS = 4096
 #: Parts that a group's moves are accepted in, so that a huge group can move in part.
 GROUP_PARTS = 16
+#: Documents from which on a group is joined by broadcast, and the most groups that are.
+HOT, HOT_GROUPS = 512, 50_000
 #: Sizes at which free documents are split into classes, the largest placed first.
 CLASSES = [1 << 14, 1 << 11, 1 << 8]
 
@@ -60,23 +69,32 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 3, id_col: str = "doc_
         F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32)).alias("group"),
     )
     rows = materialise(rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "uid"), F.lit(BUCKETS)).cast("int")), "rows")
-    groups = rows.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group", F.lit(True).alias("many"))
+    groups = materialise(rows.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    hot = groups.where(F.col("n") > HOT).orderBy(F.desc("n"), "group").limit(HOT_GROUPS)
+    hot = materialise(hot.select("group", F.lit(True).alias("hot")), "hot")
+    known = F.broadcast(hot)  # at most HOT_GROUPS rows
     start = F.pmod(F.xxhash64("doc_id", "uid", F.lit(1)), F.lit(shards)).cast("int")
-    marked = materialise(rows.join(groups, "group", "left").select(*rows.columns, F.coalesce("many", F.lit(False)).alias("linked"), start.alias("shard")), "marked")
-    discard(rows)
+    flagged = rows.join(known, "group", "left")
+    calm = groups.join(known, "group", "left_anti").select("group", F.lit(True).alias("many"))
+    calm = flagged.where("hot is null").join(calm, "group", "left").select(*rows.columns, F.lit(False).alias("hot"), F.coalesce("many", F.lit(False)).alias("linked"))
+    marked = calm.unionByName(flagged.where("hot").withColumn("linked", F.lit(True)))
+    marked = materialise(marked.withColumn("shard", start), "marked")
+    discard(rows, groups, hot)
     even = sum(_totals(marked, shards)) / shards
-    free = marked.where(~F.col("linked")).drop("linked")
+    free = marked.where(~F.col("linked")).drop("linked", "hot")
     linked, first = marked.where("linked").drop("linked"), marked
 
     for _ in range(rounds):
         quota = F.array(*[F.lit(max(0.0, even - h)) for h in _totals(linked, shards)])  # free documents give way
-        most = linked.groupBy("group", "shard").agg(F.sum("size").alias("bytes")).groupBy("group").agg(F.max(F.struct("bytes", (-F.col("shard")).alias("s"))).alias("m")).select("group", (-F.col("m.s")).alias("to"))
+        most = linked.groupBy("hot", "group", "shard").agg(F.sum("size").alias("bytes")).groupBy("hot", "group").agg(F.max(F.struct("bytes", (-F.col("shard")).alias("s"))).alias("m")).select("hot", "group", (-F.col("m.s")).alias("to"))
         part = F.pmod(F.xxhash64("group", F.pmod(F.xxhash64("uid"), F.lit(GROUP_PARTS))), F.lit(BUCKETS)).cast("int")
-        offered = linked.join(most, "group").withColumns({"own": F.col("bucket"), "bucket": part})
+        to_hot = F.broadcast(most.where("hot").drop("hot"))  # at most HOT_GROUPS rows
+        offered = linked.where("hot").join(to_hot, "group").unionByName(linked.where(~F.col("hot")).join(most.where(~F.col("hot")).drop("hot"), "group"))
+        offered = offered.withColumns({"own": F.col("bucket"), "bucket": part})
         quotas = _running(offered.where("to <> shard").select("to", "bucket", "size"), "to").where(F.col("before") + F.col("here") <= F.get(quota, F.col("to")))
         taken = F.broadcast(quotas.select("to", "bucket", F.lit(True).alias("ok")))  # at most shards * BUCKETS rows
         moved = offered.join(taken, ["to", "bucket"], "left").withColumn("shard", F.when(F.col("ok"), F.col("to")).otherwise(F.col("shard")))
-        after = materialise(moved.withColumn("bucket", F.col("own")).select(*free.columns), "linked")
+        after = materialise(moved.withColumn("bucket", F.col("own")).select(*linked.columns), "linked")
         discard(linked)
         linked = after
 
