@@ -5,11 +5,17 @@ one stream for each partition and cut into equal-length sequences. A part is an
 whose record batches hold `ids` and `mask` as fixed-size lists (the last sequence is padded and
 masked), so any sequence of a memory-mapped part can be read without a copy; beside it lies an
 index file with each document's start and length. Ids are stored as 16 bits where the vocabulary
-allows. Files are named by task attempt and only those in the manifest count, so a repeated task
-does no harm; what lost attempts left is removed.
+allows. Each write makes a folder of its own below the given one, and touches nothing outside it.
+Files in it are named by task attempt and only those in the manifest count, so a repeated task does
+no harm; what lost attempts left there is removed. Range partitions are bounded by id, text hash and
+row, so one repeated or null id is spread over tasks.
+
+The folder is a path that all executors see, or a URI of a file system that PyArrow reaches (file,
+s3, s3a, s3n, gs, gcs, hdfs, viewfs, abfs, abfss); others raise ValueError before anything is encoded.
 
 Defined results: null text is the empty one (its end id only); null doc_ids come first; rows of
-one doc_id are ordered by text; an empty table gives no rows; other columns are ignored.
+one doc_id are in an order of their own that is the same in every file; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,12 +36,25 @@ from groupwise.llm.tokens import encoder
 BATCH_SEQUENCES = 256
 INDEX_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "part int, name string, n_ids long, n_docs long"
+# Names that Hadoop gives to stores, and PyArrow's for the same ones.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "s3": "s3", "file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "abfs": "abfs", "abfss": "abfss"}
 
 
 def _open(folder: str):
+    """(file system, path) of a folder; ValueError where PyArrow doesn't reach it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    scheme, colon, rest = folder.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), folder
+    if scheme not in SCHEMES:
+        raise ValueError(f"token files can't be written to {folder}: schemes are {', '.join(sorted(SCHEMES))}")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    try:
+        return fs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{rest}")
+    except (OSError, pa.ArrowException) as e:
+        raise ValueError(f"PyArrow doesn't reach {folder}: {e}") from e
 
 
 class _Part:
@@ -87,15 +106,17 @@ class _Part:
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents under folder (seen by all executors); returns the manifest of parts.
 
-    manifest: part, name, n_ids, n_docs, start (ids of all earlier parts). One row per part.
+    manifest: part, name (below folder), n_ids, n_docs, start (ids of all earlier parts). One row per part.
     """
+    _open(folder)
+    own = f"tokens-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(folder)
-        store.create_dir(root)
+        store.create_dir(f"{root}/{own}")
         e, end = encoder(vocabulary), end_id.to_bytes(4, "little")
         largest = max(e.tokenizer.get_vocab_size() - 1, end_id)
-        part, name, out = TaskContext.get().partitionId(), uuid.uuid4().hex, None
+        part, name, out = TaskContext.get().partitionId(), f"{own}/{uuid.uuid4().hex}", None
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 out = out or _Part(store, f"{root}/{name}", "<u2" if largest < 1 << 16 else "<u4", length)
@@ -104,22 +125,27 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, length
             out.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "n_ids": out.n_ids, "n_docs": out.n_docs}], schema=pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64())]))
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    taken = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    tie = [F.xxhash64("text"), F.monotonically_increasing_id()]
+    taken = taken.select("doc_id", "text", tie[0].alias("hash"), tie[1].alias("row"))
+    ordered = taken.repartitionByRange("doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row").select("doc_id", "text")
     manifest = materialise(ordered.mapInArrow(run, MANIFEST), "manifest")
-    _remove_orphans(manifest, folder)
+    _remove_lost(manifest, folder, own)
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)))
 
 
-def _remove_orphans(manifest: DataFrame, folder: str) -> None:
-    """Files of task attempts that were not the ones to end well (as many names as parts)."""
+def _remove_lost(manifest: DataFrame, folder: str, own: str) -> None:
+    """Removes files that task attempts left which did not end well, in the folder of this write alone.
+
+    The names read are as many as there are parts.
+    """
     from pyarrow import fs
 
     store, root = _open(folder)
-    store.create_dir(root)
     good = {r["name"] for r in manifest.select("name").collect()}
-    for f in store.get_file_info(fs.FileSelector(root)):
-        if f.base_name.split(".")[0] not in good:
+    for f in store.get_file_info(fs.FileSelector(f"{root}/{own}", allow_not_found=True)):
+        if f.type == fs.FileType.File and f"{own}/{f.base_name.split('.')[0]}" not in good:
             store.delete_file(f.path)
 
 
