@@ -1,17 +1,19 @@
 """Packing documents into sequences by best-fit decreasing.
 
 A document's ids (with its end id) are cut into full windows first; each full window is a
-sequence by itself. The remainders of one input partition (at most GROUP of them at a time, so
-memory is bounded) are packed longest first: a segment tree indexed by remaining capacity finds
-the open sequence with the tightest room. There is no shuffle: sequence_id is made of the
-partition's number and a counter, and a lost task repeats only its own split.
+sequence by itself. What remains of the documents is written as a table of lengths and dealt by a
+hash of the row, however the input was partitioned, to groups of about GROUP remainders. A group
+is packed longest first: a segment tree indexed by remaining capacity finds the open sequence with
+the tightest room. Only lengths are shuffled, no ids and no texts; a task holds one group.
 
-Padding: a group wastes what best-fit decreasing wastes plus at most its last open sequences;
-with many pieces in a group that is far below one percent.
+Padding: no two open sequences of a group could be one, and a group of GROUP remainders leaves few
+of them open, so padding is below two percent for any partitioning, unless the lengths themselves
+don't fit together (documents that are all a little over half a sequence, say) or there are too
+few of them to fill a sequence.
 
 Defined results: null text packs as the empty text (its end id only); null or repeated doc_id
-rows are packed like others, a piece row each; an empty table gives no rows; other columns of the
-input are ignored.
+rows are packed like others, a piece row each; of equal lengths the earlier row is placed first; an
+empty table gives no rows; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +24,16 @@ from zlib import crc32
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from groupwise.llm.common import materialise
 from groupwise.llm.tokens import encoder
 
-GROUP = 1_000_000
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+GROUP = 8192
+#: Bits of a sequence_id that count within a task or group, and the bit that marks groups.
+WITHIN, GROUPED = 32, 1 << 62
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+SCHEMA = ", ".join(f"{n} long" for n in NAMES)
 
 
 class CapacityTree:
@@ -78,39 +85,57 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], l
     return sequence, offset, made
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece of a document: where its ids begin, their CRC-32, and its place."""
+def _pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
+    """Full windows, which are sequences, and remainders, whose sequence_id is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, end = encoder(vocabulary), end_id.to_bytes(4, "little")
-        base, window = TaskContext.get().partitionId() << 32, 4 * capacity
-        rest: list[tuple] = []
+        sequence, window = TaskContext.get().partitionId() << WITHIN, 4 * capacity
         for b in batches:
-            full = []
+            out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = e.encode(text.as_py()) + end
                 n = len(ids) // 4
                 whole = len(ids) - len(ids) % window
                 for at in range(0, whole, window):
-                    full.append((doc_id, at // 4, capacity, crc32(ids[at : at + window]), n, base, 0))
-                    base += 1
+                    out.append((doc_id, at // 4, capacity, crc32(ids[at : at + window]), n, sequence, 0))
+                    sequence += 1
                 if whole < len(ids):
-                    rest.append((doc_id, whole // 4, n - whole // 4, crc32(ids[whole:]), n))
-            if full:
-                yield rows(full)
-            if len(rest) >= GROUP:
-                packed, base = place(rest, base)
-                rest = []
-                yield packed
-        if rest:
-            yield place(rest, base)[0]
-
-    def place(rest: list[tuple], base: int) -> tuple[pa.RecordBatch, int]:
-        sequence, offset, made = best_fit_decreasing([r[2] for r in rest], capacity)
-        return rows([(*r, base + s, o) for r, s, o in zip(rest, sequence, offset, strict=True)]), base + made
-
-    def rows(found: list[tuple]) -> pa.RecordBatch:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names)
-
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
+                    out.append((doc_id, whole // 4, n - whole // 4, crc32(ids[whole:]), n, None, None))
+            if out:
+                yield _rows(out)
+
+    return docs.mapInArrow(run, SCHEMA)
+
+
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], NAMES)
+
+
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece of a document: where its ids begin, their CRC-32, and its place."""
+    pieces = _pieces(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), vocabulary, end_id, capacity)
+    pieces = materialise(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    rest = pieces.where("sequence_id is null")
+    groups = max(1, -(-rest.count() // GROUP))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for b in batches:
+            for g, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if g != group and held:
+                    yield place(group, held)
+                    held = []
+                group = g
+                held.append(row)
+        if held:
+            yield place(group, held)
+
+    def place(group: int, held: list[list]) -> pa.RecordBatch:
+        sequence, offset, _ = best_fit_decreasing([r[2] for r in held], capacity)
+        base = GROUPED + (group << WITHIN)
+        return _rows([(*r, base + s, o) for r, s, o in zip(held, sequence, offset, strict=True)])
+
+    dealt = rest.select(F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group"), *NAMES[:5], "row")
+    dealt = dealt.repartition("group").sortWithinPartitions("group", "row").drop("row")
+    return pieces.where("sequence_id is not null").select(*NAMES).unionByName(dealt.mapInArrow(run, SCHEMA))

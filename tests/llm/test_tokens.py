@@ -1,4 +1,6 @@
 import hashlib
+import os
+import random
 from array import array
 from zlib import crc32
 
@@ -100,11 +102,80 @@ def test_packing(spark, library):
     assert packing.pack(empty(docs), default_vocabulary()).count() == 0
 
 
-def test_best_fit_decreasing_takes_the_tightest_room():
-    sequence, offset, made = packing.best_fit_decreasing([6, 5, 4, 5, 10, 1], 10)
-    assert made == 4 or made == 3
-    room = {}
-    for n, s in zip([6, 5, 4, 5, 10, 1], sequence, strict=True):
-        room[s] = room.get(s, 0) + n
-    assert max(room.values()) <= 10 and sorted(room.values())[-3:] == [10, 10, 10]
-    assert packing.best_fit_decreasing([], 10) == ([], [], 0)
+def plain_best_fit(lengths, capacity):
+    """Longest first, earlier ones of equal length first; the fullest sequence with room, of equals the one filled last."""
+    rooms, out = [], [None] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        fits = [(room, -when, s) for s, (room, when) in enumerate(rooms) if room >= lengths[i]]
+        if fits:
+            s = min(fits)[2]
+        else:
+            s = len(rooms)
+            rooms.append((capacity, 0))
+        out[i] = (s, capacity - rooms[s][0])
+        rooms[s] = (rooms[s][0] - lengths[i], i_placed := sum(o is not None for o in out))
+    return [o[0] for o in out], [o[1] for o in out], len(rooms)
+
+
+def test_best_fit_decreasing_against_a_plain_search():
+    r = random.Random(3)
+    for _ in range(200):
+        capacity = r.choice([1, 7, 10, 64, 100])
+        lengths = [r.randint(1, capacity) for _ in range(r.randint(0, 60))]
+        assert packing.best_fit_decreasing(lengths, capacity) == plain_best_fit(lengths, capacity)
+    assert packing.best_fit_decreasing([6, 5, 4, 5, 10, 1], 10)[2] == 4
+
+
+@pytest.mark.parametrize("partitions", [1, 8, 200])
+def test_padding_does_not_depend_on_partitions(spark, monkeypatch, partitions):
+    monkeypatch.setattr(packing, "GROUP", 300)
+    r = random.Random(1)
+    docs = spark.createDataFrame([(i, "word " * r.choice([r.randint(1, 60), r.randint(60, 400)])) for i in range(1200)], "doc_id long, text string")
+    rows = packing.pack(docs.repartition(partitions), default_vocabulary(), capacity=256).collect()
+    used = {}
+    for row in rows:
+        used[row["sequence_id"]] = used.get(row["sequence_id"], 0) + row["length"]
+    assert len({row["doc_id"] for row in rows}) == 1200 and max(used.values()) <= 256
+    assert 1 - sum(used.values()) / (256 * len(used)) < 0.02
+
+
+def test_token_files_leave_other_files_alone(spark, tmp_path):
+    docs, vocabulary = documents(spark), default_vocabulary()
+    folder = f"{tmp_path}/tokens"
+    os.makedirs(f"{folder}/sub")
+    for name in ("precious.txt", "sub/more.arrow"):
+        open(f"{folder}/{name}", "w").close()
+    first = token_output.write(docs, folder, vocabulary)
+    expected = sorted(map(str, token_output.read_digests(first, folder).collect()))
+    again = token_output.write(docs, f"file://{folder}", vocabulary)
+    assert sorted(map(str, token_output.read_digests(first, folder).collect())) == expected
+    assert sorted(map(str, token_output.read_digests(again, folder).collect())) == expected
+    assert os.path.exists(f"{folder}/precious.txt") and os.path.exists(f"{folder}/sub/more.arrow")
+    # what an attempt that did not end well has left goes, in the write's own folder alone
+    own = first.first()["name"].split("/")[0]
+    for name in (f"{own}/lost.arrow", "lost.arrow"):
+        open(f"{folder}/{name}", "w").close()
+    token_output._remove_lost(first, folder, own)
+    assert not os.path.exists(f"{folder}/{own}/lost.arrow") and os.path.exists(f"{folder}/lost.arrow")
+    assert sorted(map(str, token_output.read_digests(first, folder).collect())) == expected
+
+
+def test_token_files_need_a_known_store(spark):
+    for folder in ("dbfs:/x", "nowhere://a/b"):
+        with pytest.raises(ValueError):
+            token_output.write(documents(spark), folder, default_vocabulary())
+    store, path = token_output._open("s3a://bucket/some/folder?region=us-east-1")
+    assert (store.type_name, path) == ("s3", "bucket/some/folder")
+
+
+def test_one_repeated_id_is_spread_over_files(spark):
+    docs = spark.createDataFrame([(7 if i % 3 else None, f"text {i % 50}") for i in range(600)], "doc_id long, text string")
+    folder = fresh_path(spark, "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_output.write(docs, folder, default_vocabulary())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() >= 3 and max(r["n_docs"] for r in manifest.collect()) < 400
+    rows = sorted(token_output.read_digests(manifest, folder).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == [None] * 200 + [7] * 400
