@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groupwise.llm import bpe, jaccard_join, language, packing, sharding, suffix_dedup, token_output, topk, url_filter, vector_dedup
+from groupwise.llm import bpe, jaccard_join, language, packing, sharding, sql, suffix_dedup, token_output, topk, url_filter, vector_dedup
 from groupwise.llm.common import fresh_path
 from groupwise.llm.tokens import default_vocabulary
 
@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
