@@ -42,7 +42,7 @@ from groupwise.llm.topk import usable
 LEAST_CODEWORDS, MOST_CODEWORDS, BUCKET = 192, 8192, 64
 EXPECTED, LEAST = (10, 14, 20, 28, 40, 56, 80), 6
 #: Share of simulated pairs at the limit that may share no filter, and the number of pairs.
-LOST, PAIRS = 0.002, 1000
+LOST, PAIRS = 0.01, 1000
 ROWS = 512
 
 
@@ -122,7 +122,7 @@ class ProductCode:
 
 def codewords_for(n: int) -> int:
     """How many codewords keep a filter of a label with n classes at about BUCKET of them."""
-    return min(MOST_CODEWORDS, max(LEAST_CODEWORDS, ceil(sqrt(n * EXPECTED[1] / BUCKET))))
+    return min(MOST_CODEWORDS, max(LEAST_CODEWORDS, ceil(sqrt(n * EXPECTED[0] / BUCKET))))
 
 
 def _filter_rows(classes: DataFrame, limit: float) -> DataFrame:
