@@ -73,6 +73,16 @@ def discard(*tables: DataFrame | None) -> None:
             remove_path(t.sparkSession, path)
 
 
+def columns_as_row(df: DataFrame, without: str | None = None) -> F.Column:
+    """A struct of df's columns by position, so that their names can't clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns) if c != without], F.lit(0).alias("none"))
+
+
+def row_as_columns(names: list[str], row: str, without: str | None = None) -> list[F.Column]:
+    """The columns of such a struct under their names; the one left out is a column of its own."""
+    return [(F.col(f"`{c}`") if c == without else F.col(f"{row}.c{k}")).alias(c) for k, c in enumerate(names)]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about `most` bytes of a string column, to bound what is made of one."""
     for b in batches:
@@ -85,13 +95,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterato
         pa.default_memory_pool().release_unused()
 
 
+#: Links of a node from which on it is joined by broadcast, and the most nodes that are.
+HUB, HUBS = 512, 50_000
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(u, v, m): edges with the smallest v of their u. Hubs are joined by broadcast, so no task holds one's edges."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > HUB).orderBy(F.desc("n"), "u").limit(HUBS).select("u", "m"))  # at most HUBS rows
+    calm = edges.join(hubs.select("u"), "u", "left_anti").join(least.select("u", "m"), "u")
+    return calm.unionByName(edges.join(hubs, "u"))
+
+
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     links: two columns of long node ids; nulls, loops and repeats are ignored. Returns
     (node, component) for every node with a link, component being its smallest reachable id.
-    Each round is two equi-joins on a node id; hot hubs are left to adaptive skew joins, no
-    round holds a component in one task, and each round's edges are a written table.
+    Each round is two equi-joins on a node id, in which hubs are broadcast; no round holds a
+    component in one task, and each round's edges are a written table.
     """
     edge = links.select(F.col(left).cast("long").alias("x"), F.col(right).cast("long").alias("y"))
     edge = edge.where(F.col("x") != F.col("y"))
@@ -99,16 +121,12 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        )
-        after = materialise(small, "edges")
+        large = _with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = materialise(large.distinct(), "large")
+        small = _with_least(large).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        after = materialise(small.distinct(), "edges")
         now_state = _state(after)
-        discard(now)
+        discard(now, large)
         now, done, state = after, now_state == state, now_state
         if done:
             break
