@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groupwise.llm.common import discard, materialise, slices
+from groupwise.llm.common import columns_as_row, discard, materialise, row_as_columns, slices
 from groupwise.llm.shingles import U64, mix
 from groupwise.llm.suffix_array import permuted_common_prefixes, suffix_array
 
@@ -393,6 +393,9 @@ def _by_window(pieces: DataFrame, width: int) -> tuple[DataFrame, list[DataFrame
         if out:
             yield _runs(out)
 
+    # a segment has a row for each batch that it was met in; from here on one, with its smallest owner
+    one = pieces.groupBy("name", "seg_hash", "at").agg(F.first("shard").alias("shard"), F.first("segment").alias("segment"), F.min("owner").alias("owner"))
+    pieces = materialise(one.select(*pieces.columns), "pieces")
     each = materialise(pieces.mapInArrow(cut, PIECES).drop("shard"), "windows")
     several = each.groupBy("segment").agg(F.min("owner").alias("first"), F.max("owner").alias("most"), F.count("*").alias("n")).where("first < most")
     answers = materialise(several.drop("most"), "answers")
@@ -403,7 +406,7 @@ def _by_window(pieces: DataFrame, width: int) -> tuple[DataFrame, list[DataFrame
     found = rest.unionByName(each.join(known, "segment")).where("first < owner")
     ordered = found.repartition("name", "seg_hash").sortWithinPartitions("name", "seg_hash", "at").select("name", "seg_hash", "at", "first")
     own = pieces.select("name", "seg_hash", "at", (F.length("segment") - width + 1).cast("long").alias("windows"), F.col("owner").alias("first"))
-    return own.unionByName(ordered.mapInArrow(join_up, FIRST)), [each, answers, common]
+    return own.unionByName(ordered.mapInArrow(join_up, FIRST)), [pieces, each, answers, common]
 
 
 def _runs(rows: list[list]) -> pa.RecordBatch:
@@ -513,8 +516,7 @@ def remove(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: s
 
     A cut that falls inside a UTF-8 character widens to the whole character, so the text stays valid.
     """
-    place = docs.columns.index(text_col)
-    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if k != place], F.lit(0).alias("none"))
+    rest = columns_as_row(docs, without=text_col)
     joined = _marked(docs.select(*_keys(id_col, text_col), rest.alias("rest")), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -532,5 +534,5 @@ def remove(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(3)], ["text", "rest"])
 
     taken = joined.select("text", "spans", "whole", "rest")
-    out = taken.mapInArrow(run, taken.select("text", "rest").schema)
-    return out.select(*[(F.col("text") if k == place else F.col(f"rest.c{k}")).alias(c) for k, c in enumerate(docs.columns)])
+    out = taken.mapInArrow(run, taken.select("text", "rest").schema).withColumnsRenamed({"text": text_col})
+    return out.select(*row_as_columns(docs.columns, "rest", without=text_col))

@@ -68,6 +68,19 @@ def test_a_line_in_all_texts(spark, monkeypatch):
         check(spark, [(i, other(r.randint(40, 90)) + line + other(r.randint(40, 90))) for i in range(150)])
 
 
+def test_pieces_of_several_batches_are_one(spark):
+    """A segment met in many batches gives no more rows than one met once."""
+    r = random.Random(4)
+    segments = ["".join(r.choices("ab", k=60)).encode() for _ in range(5)] + [b"ab" * 40]
+    rows = [(1, 2, k, 0, bytearray(x), 100 * b + k) for b in range(30) for k, x in enumerate(segments)]
+    pieces = spark.createDataFrame(rows, suffix_dedup.PIECES).repartition(6)
+    found, _ = suffix_dedup._by_window(pieces, 50)
+    plain = sorted(map(tuple, suffix_dedup._settled(pieces, 50).collect()))
+    least = lambda rows: {(s, a + k): f for _, s, a, n, f in sorted(rows, key=lambda r: -r[4]) for k in range(n)}
+    found = sorted(map(tuple, found.collect()))
+    assert least(found) == least(plain) and len(found) <= 2 * len(segments)
+
+
 def test_texts_with_one_hash_are_told_apart(spark, monkeypatch):
     keys = suffix_dedup._keys
     monkeypatch.setattr(suffix_dedup, "_keys", lambda *a: [*keys(*a)[:2], (keys(*a)[2] % 4).alias("text_hash"), keys(*a)[3]])
