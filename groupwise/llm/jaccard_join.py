@@ -11,14 +11,21 @@ more than `spare` agreeing parts one is not empty. Sets with more empty parts ke
 Rows with one signature make a bucket. Those of a small bucket are connected where an exact bound
 allows a link: hashed to cells, two sets differ in at least as many elements as the counts of their
 cells do. Rows of a bucket with more than SMALL are connected through the smallest id, first within
-a task and then over all. Neither way lists pairs. Connected rows form families. A family's sets
-are compared in blocks, exactly, and each pair of blocks returns a spanning forest of its true
-links. Families are ordered by set size, and block pairs of too different sizes are left out.
-Equal sets are one node from the start.
+a task (there from HELD_SMALL on, so that a signature of very many rows leaves one row for each set
+of held signatures) and then over all. Neither way lists pairs. Connected rows form families.
+
+A family's sets are compared exactly, in blocks; a comparison returns a spanning forest of the true
+links. First each block is compared with itself, then one row of each component found stands for it
+in new blocks. Families that are one component now are done: further links could not change the
+result. The others are cut into blocks again, component by component, and pairs of blocks are
+compared unless both lie in one component or their sizes exclude links. Pairs are dealt in tiles
+of TILE x TILE, so that a block is sent once for TILE others. Equal sets are one node from the
+start. Families are cut into blocks by counts, not by numbering their rows in one task.
 
 Defined results: texts that are null or without words have the empty set and link with nothing;
 rows with a null id link with nothing and keep a null component; rows that repeat an id are one
-node, linked by any of their texts; other columns are ignored; an empty table gives no rows.
+node, linked by any of their texts; other columns are ignored, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -33,15 +40,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groupwise.llm.common import components, discard, materialise
+from groupwise.llm.common import components, discard, materialise, one_by_id
 from groupwise.llm.shingles import U64, mix, set_hash, shingle_sets
 
-BLOCK = 256
-#: Rows up to which a bucket's members are compared by their cells.
-SMALL = 2048
+BLOCK, TILE = 256, 8
+#: Rows up to which a bucket's members are compared by their cells; the same among those a task holds.
+SMALL, HELD_SMALL = 2048, 512
 #: Signatures that a task holds at once.
 HELD = 1 << 20
-FILTER_BITS = 1 << 24
+#: Bits of the filter of members: eight a member between these bounds; beyond, it lets more rows pass.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
 
 @lru_cache(maxsize=None)
@@ -142,8 +150,10 @@ def may_link(sizes: list[int], cells: list[bytes], num: int, den: int) -> list[t
 
     Breadth first: each row in turn takes the rows not yet reached that may link to it.
     """
-    known = [i for i, c in enumerate(cells) if c]
-    out = [(i, j) for i, c in enumerate(cells) if not c for j in range(len(cells)) if j != i]  # no bound: anything may link
+    unbounded = next((i for i, c in enumerate(cells) if not c), None)
+    if unbounded is not None:  # it may link to any row, so it connects them all
+        return [(unbounded, j) for j in range(len(cells)) if j != unbounded]
+    known, out = list(range(len(cells))), []
     if len(known) < 2:
         return out
     least = min(len(cells[i]) for i in known)
@@ -200,7 +210,7 @@ def _candidates(docs: DataFrame, sets: DataFrame, words: int, num: int, den: int
         first = np.append(True, sig[1:] != sig[:-1])
         group = np.cumsum(first) - 1
         least = owner[first][group]
-        large = np.bincount(group)[group] > SMALL
+        large = np.bincount(group)[group] > HELD_SMALL
         pairs = np.unique(np.stack([owner[large], least[large]], 1), axis=0)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         keep = np.flatnonzero(first | ~large)
@@ -254,10 +264,11 @@ def _candidates(docs: DataFrame, sets: DataFrame, words: int, num: int, den: int
 
 
 def _member_filter(members: DataFrame) -> np.ndarray:
-    """A bit for each hash of a member's id: a table of FILTER_BITS bits, whatever the input."""
-    bit = members.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
+    """A bit for each hash of a member's id, in a table of at most MOST_BITS bits."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * members.count()).bit_length()))
+    bit = members.select(F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("bit"))
     words = bit.selectExpr("cast(bit div 32 as int) as word", "shiftleft(1L, cast(bit % 32 as int)) as bits").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out = np.zeros(size // 32, np.uint32)
     found = words.toPandas()
     out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return out
@@ -265,7 +276,8 @@ def _member_filter(members: DataFrame) -> np.ndarray:
 
 def _member_sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
     """places (doc_id, n, ...) with the shingles of the members, from their texts again."""
-    bits = docs.sparkSession.sparkContext.broadcast(_member_filter(places))
+    bits = docs.sparkSession.sparkContext.broadcast(member := _member_filter(places))
+    size = 32 * len(member)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -274,15 +286,25 @@ def _member_sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
             sets = list(shingle_sets((t.as_py() for t in b.column(1)), words))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "shingles"])
 
-    near = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")).where("doc_id is not null")
+    near = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("bit")).where("doc_id is not null")
     return near.mapInArrow(run, "doc_id long, n long, shingles binary").where("n > 0").join(places, ["doc_id", "n"])
 
 
-def _places(members: DataFrame) -> DataFrame:
-    """members (doc_id, n, family) with their block, and whether the family has several."""
-    place = Window.partitionBy("family").orderBy("n", "doc_id")
-    slim = members.withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK).cast("int"))
-    return slim.withColumn("several", F.max("block").over(Window.partitionBy("family")) > 0)
+def _blocked(rows: DataFrame, by: list[str], order: list[F.Column]) -> tuple[DataFrame, DataFrame]:
+    """rows (doc_id, n, family, ...) with a block of about BLOCK rows, null in families that are one block.
+
+    by: columns that rows of neighbouring blocks share, in `order` within a family. Only their counts
+    are put in order; rows of one count are spread over its places by a hash. Also returns a table
+    that the result reads.
+    """
+    counts = rows.groupBy("family", *by).agg(F.count("*").alias("here"), F.min("n").alias("least"))
+    family = Window.partitionBy("family")
+    earlier = family.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"base": F.coalesce(F.sum("here").over(earlier), F.lit(0)), "all": F.sum("here").over(family)})
+    # families of several blocks only; written, so that its size is known
+    counts = materialise(counts.where(F.col("all") > BLOCK).select("family", *by, "here", "base"), "counts")
+    place = F.col("base") + F.pmod(F.xxhash64("doc_id"), F.col("here"))
+    return rows.join(counts, ["family", *by], "left").withColumn("block", F.floor(place / BLOCK).cast("int")).drop("here", "base"), counts
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -323,65 +345,124 @@ def forest(ids_left: np.ndarray, ids_right: np.ndarray, linked: np.ndarray) -> l
     return out + [(int(ids_right[j]), int(ids_left[k])) for j, k in enumerate(far) if k < len(label) and ids_right[j] != ids_left[k]]
 
 
-def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) spanning all links of the families in sets (doc_id, n, family, block, several, shingles)."""
+#: What a block gives: links; rows that stand for its components; or its sets, to be compared with those of other blocks.
+BLOCK_OUT = "a long, b long, family long, several boolean, doc_id long, n long, shingles binary, block int, least long, most long, first long, last long, ids binary, sizes binary, data binary"
+_BLOCK_TYPES = [pa.int64()] * 3 + [pa.bool_()] + [pa.int64()] * 2 + [pa.binary(), pa.int32()] + [pa.int64()] * 4 + [pa.binary()] * 3
+
 
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _within(sets: DataFrame, num: int, den: int, send: bool) -> DataFrame:
+    """Links within blocks of sets (doc_id, shingles, family, block, component), and of families with
+    several blocks the rows that stand for the components found or, with `send`, the blocks themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        key = None
+        out: list[tuple] = []
 
         def settle():
-            if not held:
-                return
+            family, block = held[0][2:4]
             ids, found = np.array([h[0] for h in held]), [np.frombuffer(h[1], U64) for h in held]
             pairs = forest(ids, ids, similar(found, found, num, den)) if len(ids) > 1 else []
-            sizes = np.array([len(s) for s in found], np.int64)
-            for a, b in pairs:
-                yield (a, b, None, None, None, None, None, None, None)
-            if held[0][4]:
-                yield (None, None, *key, int(sizes.min()), int(sizes.max()), ids.tobytes(), sizes.tobytes(), b"".join(h[1] for h in held))
+            out.extend((a, b, family, block is not None, *[None] * 11) for a, b in pairs)
+            if block is not None and send:
+                sizes, parts = np.array([len(s) for s in found], np.int64), [h[4] for h in held]
+                out.append((None, None, family, True, None, None, None, block, int(sizes.min()), int(sizes.max()), min(parts), max(parts), ids.tobytes(), sizes.tobytes(), b"".join(h[1] for h in held)))
+            elif block is not None:
+                linked = {a for a, _ in pairs}  # every row but one of a component
+                out.extend((None, None, family, True, h[0], len(s), h[1], *[None] * 8) for h, s in zip(held, found, strict=True) if h[0] not in linked)
+            held.clear()
+
+        def batch():
+            rows = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _BLOCK_TYPES, strict=True)], [c.split()[0] for c in BLOCK_OUT.split(", ")])
+            out.clear()
+            return rows
 
-        def batch(rows):
-            types = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.binary()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["a", "b", "family", "block", "least", "most", "ids", "sizes", "data"])
-
-        out: list[tuple] = []
         for b in batches:
-            for doc_id, shingles, family, block, several in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (family, block) != key:
-                    out += settle()
-                    held, key = [], (family, block)
-                held.append((doc_id, shingles, family, block, several))
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and r[2:4] != held[0][2:4]:
+                    settle()
+                held.append(r)
             if out:
-                yield batch(out)
-                out = []
-        out += settle()
+                yield batch()
+        if held:
+            settle()
         if out:
-            yield batch(out)
+            yield batch()
+
+    taken = sets.select("doc_id", "shingles", "family", "block", "component")
+    return taken.repartition("family", "block").sortWithinPartitions("family", "block").mapInArrow(run, BLOCK_OUT)
+
+
+def _across(blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links between blocks of a family, tile by tile."""
+    tile = F.floor(F.col("block") / TILE).cast("int")
+    slim = blocks.select("family", "block", tile.alias("tile"), "least", "most", "first", "last")
+    left = slim.toDF("family", *[f"{c}_i" for c in slim.columns[1:]])
+    right = slim.toDF("family", *[f"{c}_j" for c in slim.columns[1:]])
+    one_component = (F.col("first_i") == F.col("last_i")) & (F.col("first_j") == F.col("last_j")) & (F.col("first_i") == F.col("first_j"))
+    sizes_allow = (F.col("least_j") * num <= F.col("most_i") * den) & (F.col("least_i") * num <= F.col("most_j") * den)
+    pairs = left.join(right, "family").where((F.col("block_i") < F.col("block_j")) & ~one_component & sizes_allow)
+    tiles = materialise(pairs.groupBy("family", F.col("tile_i").alias("i"), F.col("tile_j").alias("j")).agg(F.collect_list(F.struct(F.col("block_i").alias("x"), F.col("block_j").alias("y"))).alias("pairs")), "tiles")
+    data = blocks.withColumn("tile", tile).select("family", "tile", "block", "ids", "sizes", "data")
+    lead = tiles.select("family", "i", "j", "pairs").withColumnRenamed("i", "tile").withColumn("i", F.col("tile"))
+    other = tiles.where("i <> j").select("family", F.col("j").alias("tile"), "i", "j")
+    met = data.join(lead, ["family", "tile"]).select("family", "i", "j", "block", "ids", "sizes", "data", "pairs")
+    met = met.unionByName(data.join(other, ["family", "tile"]).select("family", "i", "j", "block", "ids", "sizes", "data"), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, pairs = None, {}, None
 
-    marked = sets.select("doc_id", "shingles", "family", "block", "several")
-    first = materialise(marked.repartition("family", "block").sortWithinPartitions("family", "block").mapInArrow(within, "a long, b long, family long, block int, least long, most long, ids binary, sizes binary, data binary"), "blocks")
-    one = first.where("family is not null").select("family", "block", "least", "most")
-    left, right = one.toDF("family", "i", "least_i", "most_i"), one.toDF("family", "j", "least_j", "most_j")
-    pairs = left.join(right, "family").where((F.col("i") < F.col("j")) & (F.col("least_j") * num <= F.col("most_i") * den)).select("family", "i", "j")
-    data = first.where("family is not null").select("family", "block", "ids", "sizes", "data")
-    met = pairs.join(data.toDF("family", "i", "ids_i", "sizes_i", "data_i"), ["family", "i"]).join(data.toDF("family", "j", "ids_j", "sizes_j", "data_j"), ["family", "j"])
+        def settle():
+            found = [link for p in pairs or [] for link in forest(held[p["x"]][0], held[p["y"]][0], similar(held[p["x"]][1], held[p["y"]][1], num, den))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                side = []
-                for x in "ij":
-                    ends = np.cumsum(np.frombuffer(r[f"sizes_{x}"], np.int64))
-                    side.append((np.frombuffer(r[f"ids_{x}"], np.int64), np.split(np.frombuffer(r[f"data_{x}"], U64), ends[:-1])))
-                (ids_i, left), (ids_j, right) = side
-                found = forest(ids_i, ids_j, similar(left, right, num, den))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
-
-    links = met.select(*[f"{c}_{x}" for x in "ij" for c in ("ids", "sizes", "data")]).mapInArrow(across, "a long, b long")
-    out = first.where("a is not null").select("a", "b").unionByName(links)
-    out.scratch_path = first.scratch_path
+            for family, i, j, block, ids, sizes, data, some in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (family, i, j) != key:
+                    yield from settle()
+                    key, held, pairs = (family, i, j), {}, None
+                ends = np.cumsum(np.frombuffer(sizes, np.int64))
+                held[block] = (np.frombuffer(ids, np.int64), np.split(np.frombuffer(data, U64), ends[:-1]))
+                pairs = pairs or some
+        yield from settle()
+
+    links = materialise(met.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a long, b long"), "across")
+    discard(tiles)
+    return links
+
+
+def _links(texts: DataFrame, members: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(a, b) that connect what the links of the families connect. members: (doc_id, n, family)."""
+    none = F.lit(None).cast("long").alias("component")
+    places, read = _blocked(members, ["n"], [F.col("n")])
+    places = materialise(places, "places")
+    first = materialise(_within(_member_sets(texts, places, words).select("*", none), num, den, False), "within")
+    discard(read)
+    found, waste = [first], [places, first]
+    stand = first.where("doc_id is not null").select("doc_id", "n", "family", "shingles")
+    if not stand.isEmpty():
+        again, read = _blocked(stand, ["n"], [F.col("n")])
+        second = materialise(_within(again.select("*", none), num, den, False).select("a", "b", "family", "several").where("a is not null"), "standing")
+        found.append(second)
+        large = first.where("several").select("a", "b", "family").unionByName(second.select("a", "b", "family")).where("a is not null")
+        label = components(large)
+        rows = places.where("block is not null").select("doc_id", "n", "family").join(label.toDF("doc_id", "component"), "doc_id", "left")
+        rows = materialise(rows.withColumn("component", F.coalesce("component", "doc_id")), "labelled")
+        open_ = rows.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("family")
+        open_ = materialise(open_, "open")
+        waste += [read, second, label, rows, open_]
+        if not open_.isEmpty():
+            left, read = _blocked(rows.join(open_, "family", "left_semi"), ["component"], [F.col("least"), F.col("component")])
+            left = materialise(left, "left")
+            third = materialise(_within(_member_sets(texts, left, words), num, den, True), "blocks")
+            links = _across(third.where("block is not null"), num, den)
+            found += [third, links]
+            waste += [read, left, third, links]
+    out = found[0].where("a is not null").select("a", "b")
+    for f in found[1:]:
+        out = out.unionByName(f.where("a is not null").select("a", "b"))
+    out = materialise(out, "links")
+    discard(*waste)
     return out
 
 
@@ -396,11 +477,11 @@ def classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col:
     a, b = of.toDF("a", "rep_a"), of.toDF("b", "rep_b")
     families = components(pairs.join(a, "a").join(b, "b").where("rep_a <> rep_b").select("rep_a", "rep_b"), "rep_a", "rep_b")
     sizes = named.select("doc_id", F.col("n_shingles").alias("n")).distinct()
-    places = materialise(_places(families.toDF("doc_id", "family").join(sizes, "doc_id")), "places")
-    links = _links(_member_sets(texts, places, words), num, den)
-    repeated = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("m"), F.collect_set("rep").alias("reps")).where("a <> m").select("a", F.explode("reps").alias("b"))
-    found = components(links.unionByName(repeated))
-    discard(pairs, families, places, links, of)
+    links = _links(texts, families.toDF("doc_id", "family").join(sizes, "doc_id"), words, num, den)
+    found = components(links.unionByName(one_by_id(of, "doc_id", "rep")))
+    discard(pairs, families, links, of)
     named_rows = rows.join(reps, "set_id", "left").join(found.toDF("rep", "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return named_rows.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = materialise(named_rows.select("doc_id", "n_shingles", component.alias("component_id")), "classes")
+    discard(rows, reps, found)
+    return out

@@ -61,14 +61,21 @@ def test_cells_never_rule_out_a_link():
             assert found
         ruled_out += not found
     assert ruled_out > 50
-    assert jaccard_join.may_link([3, 3, 3], [b"", b"\1" * 8, b"\1" * 8], 4, 5) == [(0, 1), (0, 2), (1, 2)]
+    # a row without a bound connects all rows, with one pair a row
+    for k in range(3):
+        cells = [b"\1" * 8] * 3
+        cells[k] = b""
+        assert sorted(jaccard_join.may_link([3, 3, 3], cells, 4, 5)) == [(k, j) for j in range(3) if j != k]
 
 
 @pytest.mark.parametrize("small", [64, 3])
 @pytest.mark.parametrize(("words", "num", "den"), [(3, 9, 10), (5, 4, 5)])
 def test_classes_against_brute_force(spark, monkeypatch, words, num, den, small):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "HELD_SMALL", small)
+    monkeypatch.setattr(jaccard_join, "HELD", 5_000)
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "TILE", 2)
     rows = families(words)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(df, words, num, den).collect())
@@ -76,6 +83,39 @@ def test_classes_against_brute_force(spark, monkeypatch, words, num, den, small)
     assert len({f[2] for f in found}) < len(found) - 20
 
 
+def test_families_of_many_components(spark, monkeypatch):
+    """Rows that share a signature, but few links: families stay open and are compared tile by tile."""
+    for name, n in (("SMALL", 2), ("HELD_SMALL", 2), ("BLOCK", 5), ("TILE", 2)):
+        monkeypatch.setattr(jaccard_join, name, n)
+    r = random.Random(12)
+    head = [f"h{i}" for i in range(30)]
+    rows = []
+    for i in range(140):  # the head is shared by all; tails make some of them similar enough
+        tail = [f"t{r.randrange(12)}x{k}" for k in range(r.choice([3, 6, 9, 12]))]
+        rows.append((i, " ".join(head + tail)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for words, num, den in ((1, 4, 5), (1, 9, 10), (2, 4, 5)):
+        found = sorted((c["doc_id"], c["n_shingles"], c["component_id"]) for c in jaccard_join.classes(df, words, num, den).collect())
+        assert found == brute.jaccard_classes(rows, words, num, den)
+        assert 1 < len({f[2] for f in found}) < 140
+
+
+def test_blocks_are_cut_by_counts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 10)
+    rows = spark.createDataFrame([(i, 5 + i % 3, i % 4 if i < 400 else 9) for i in range(408)], "doc_id long, n long, family long")
+    found, read = jaccard_join._blocked(rows, ["n"], [rows["n"]])
+    assert read.count() == 12
+    held = {}
+    for r in found.collect():
+        assert (r["block"] is None) == (r["family"] == 9)
+        held.setdefault((r["family"], r["block"]), []).append(r["n"])
+    sizes = {k: len(v) for k, v in held.items() if k[1] is not None}
+    assert max(sizes.values()) < 30 and {k[1] for k in sizes} <= set(range(10))
+    for f in range(4):
+        mean = [np.mean(held[f, b]) for b in sorted(b for g, b in sizes if g == f)]
+        assert mean == sorted(mean)
+
+
 def test_awkward_rows(spark):
     docs = documents(spark, [(200 + i, TEXTS[0], "en", None, None, 3, "y") for i in range(40)])
     found = jaccard_join.classes(docs, 3, 9, 10).collect()
