@@ -2,13 +2,15 @@
 
 A small labelled URL table (at most MAX_LABELLED rows, the bound on what the driver reads) trains
 the weights: n-grams of 3 to 5 characters of the host and of the path, hashed apart into BINS
-weights of fixed size, so what executors receive never grows with the data. Host, path and rules
-are DataFrame expressions; only rows without a rule reach the Python scorer, an Arrow map that
-remembers hosts and paths it has scored. No shuffle.
+weights of fixed size, so what executors receive never grows with the data. The built-in table is
+made by rule of ordinary words, words of unwanted trades and made-up names; a word that it doesn't
+have is mostly let pass. Host, path and rules are DataFrame expressions; only rows without a rule
+reach the Python scorer, an Arrow map that remembers hosts and paths it has scored. No shuffle.
 
 Defined results: a null url or one without `://` has empty host and path, no rule, and the
 verdict of the model on two empty strings; page_id may be null or repeated, rows pass one to one;
-other columns are ignored; an empty table gives no rows.
+other columns are ignored, whatever their names; of rules of equal length that fit, the later one in
+alphabetical order wins; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,24 +32,51 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Host and path rules, and whether a page they fit is allowed.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
-# The small labelled table, hosts and paths of wanted and unwanted sites.
-WANTED_HOSTS = "riverdale library museum weather gardening history science university school recipes travel news music art books health nature sport city council theatre village archive lexicon journal observatory botany chemistry thornton theresa northern anderson stone meadow hearth lantern thistle heron rhine trent tinsley threshold wharf ontario shelter shore arrington kitchen garden painting physics mathematics medicine hospital college academy teacher students language grammar dictionary poetry novels cinema photography architecture railway harbour mountain forest farming village-green city-hall town-news open-library book-club bird-watch home-cooking folk-music public-health local-history river-walk".split()
-UNWANTED_HOSTS = """casino-royal best-casino casinobonus live-casino vegas-casino lucky-win big-win win-money win-prize online-poker poker-bets slots-bonus mega-slots jackpot-spins roulette-play betting-odds sports-bets bets-online bet-bonus free-spins free-money free-loans free-gifts payday-loan fast-cash lottery-win lottery-prize
-cheap-meds cheap-viagra cheap-watches discount-pharmacy viagra-shop pills-online diet-pills buy-pills cialis-shop adult-toys adult-cams adult-chat adults-only hot-adult xxx-video xxx-tube porn-tube porn-video free-porn sex-chat sex-cams escort-dates hot-dates
-torrent-warez warez-download crack-keygen serial-keys malware-download virus-download fake-bank phishing-login login-verify spam-offers spam-mail bulk-spam spammer-list replica-watches replica-bags ad-tracker ads-popup banner-ads ads-network tracker-pixel web-tracking adclick-server content-farm click-farm like-farm seo-links buy-links""".split()
-WANTED_PATHS = "/ /about /en/123 /de/45.html /fr/678/ /es/9 /articles/history /2024/05/spring-report".split()
-UNWANTED_PATHS = "/ /bonus /en/321 /de/54.html /fr/876/ /es/8 /free/casino-bonus /win/cheap-pills /xxx/adult-video".split()
+# Words of the built-in labelled table. Names are made of them by rule, not taken from any pages.
+PLAIN_WORDS = """academy airport architecture archive astronomy bakery bank biology books botany bridge camera castle charity chemistry choir church cinema city climate clinic coffee college computing concert
+cooking council cricket cycling dance design dictionary economy education electronics encyclopedia energy engineering family farming fashion fishing football forest furniture gallery garden geography grammar
+guitar harbour health history hospital hotel house island jazz journal kitchen lake language law library literature magazine maps market mathematics medicine mountain museum music nature news novels opera
+orchestra painting parliament park philosophy photography physics poetry politics pottery railway radio recipes research river sailing school science sculpture software sports statistics students teacher
+television tennis theatre tourism travel university vegetables village violin water weather weekly wildlife wine women world""".split()
+UNWANTED_WORDS = """bet bets betting bookmaker bingo casino casinos gamble gambling jackpot lottery poker roulette slot-machine slots wager cialis diet-pills meds painkillers pharmacy pill pills steroids viagra
+adult adults-only cams erotic escorts nude porn porno sex sexy xxx cash credit forex loan loans payday counterfeit fake replica crack cracked keygen malware phishing spyware torrent torrents trojan virus warez
+adserver ads advert banners clicks popups tracker tracking backlinks bulk-mail junk-mail seo spam spambot spammer spamming""".split()
+#: Words that go with either kind, so that they say nothing themselves.
+EITHER_WORDS = "best big club daily deals direct easy first global home hot live max my new now online plus pro shop top zone".split()
+#: Openings, vowels and endings of syllables of made-up names, which are wanted ones.
+OPENINGS = "b c d f g h j k l m n p r s t v w y z bl br ch cl cr dr fl fr gl gr pl pr qu sh sl sp st th tr wh".split()
+VOWELS = "a e i o u ai ea ee ie io oa oo ou".split()
+CLOSINGS = ["", "", "", "n", "r", "s", "l", "t", "nd", "ng", "st", "ck"]
+MADE_UP = 300
+PLAIN_PATHS = "/ /about /en/123 /de/45.html /fr/678/ /es/9 /articles/item /2024/05/report /index.php".split()
 AFFIXES = ["", "www.", "blog.", "m."]
 ENDINGS = ["com", "net", "org"]
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """(url, 1 for unwanted): every host with paths, prefixes and endings in turn."""
+def labelled_hosts() -> list[tuple[str, str, int]]:
+    """(word, host name, 1 for unwanted): each word alone and with words that go with either kind, and made-up names."""
     out = []
-    for label, hosts, paths in ((0, WANTED_HOSTS, WANTED_PATHS), (1, UNWANTED_HOSTS, UNWANTED_PATHS)):
-        for i, host in enumerate(hosts):
-            for j, path in enumerate(paths):
-                out.append((f"https://{AFFIXES[(i + j) % 4]}{host}.example.{ENDINGS[(i + 2 * j) % 3]}{path}", label))
+    for label, words in ((0, PLAIN_WORDS), (1, UNWANTED_WORDS)):
+        for i, word in enumerate(words):
+            out.append((word, word, label))
+            for j in range(6 if label else 3):
+                other = EITHER_WORDS[(5 * i + 7 * j) % len(EITHER_WORDS)]
+                first, second = (word, other) if (i + j) % 2 else (other, word)
+                out.append((word, f"{first}{'-' if j % 3 else ''}{second}", label))
+    r = np.random.default_rng(0)
+    for _ in range(MADE_UP):
+        name = "".join(f"{r.choice(OPENINGS)}{r.choice(VOWELS)}{r.choice(CLOSINGS)}" for _ in range(r.integers(2, 5)))
+        out.append((name, name, 0))
+    return out
+
+
+def labelled_urls(hosts: list[tuple[str, str, int]] | None = None) -> list[tuple[str, int]]:
+    """(url, 1 for unwanted): hosts with paths, prefixes and endings in turn."""
+    out = []
+    for i, (_, name, label) in enumerate(labelled_hosts() if hosts is None else hosts):
+        for j in range(2):
+            place = ["", ".example"][(i + j) % 2]
+            out.append((f"https://{AFFIXES[(i + j) % 4]}{name}{place}.{ENDINGS[(i + 2 * j) % 3]}{PLAIN_PATHS[(i + 4 * j) % len(PLAIN_PATHS)]}", label))
     return out
 
 
@@ -63,7 +92,7 @@ def grams(part: str, text: str) -> np.ndarray:
     return np.array([crc32(f"{part}{s[i : i + n]}".encode()) % BINS for n in (3, 4, 5) for i in range(max(1, len(s) - n + 1))], np.int64)
 
 
-def train(labelled: list[tuple[str, int]], steps: int = 400, rate: float = 2.0, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+def train(labelled: list[tuple[str, int]], steps: int = 400, rate: float = 8.0, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch gradient descent; deterministic. Class weights are even."""
     rows = []
     for url, _ in labelled:
@@ -106,7 +135,7 @@ class Scorer:
 def fitting_rule(host, path, rules: list[tuple[str, str]]) -> tuple:
     """(rule, verdict) columns: of the rules that fit, the longest; null where none does."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for text, what in sorted(rules, key=lambda r: len(r[0])):  # later, longer ones win
+    for text, what in sorted(rules, key=lambda r: (len(r[0]), r[0])):  # later, longer ones win
         h, _, p = text.partition("/")
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(f"/{p}")
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)
