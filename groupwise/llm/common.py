@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -73,6 +74,16 @@ def discard(*tables: DataFrame | None) -> None:
             remove_path(t.sparkSession, path)
 
 
+def discard_inputs(df: DataFrame) -> None:
+    """Remove the materialised tables that df reads, once it has been written itself."""
+    spark = df.sparkSession
+    own = f"{shared_dir(spark).split(':', 1)[-1].rstrip('/')}/groupwise/".lstrip("/")
+    found = (re.match(r"(.*/groupwise/[a-z0-9_]+-[0-9a-f]{32})/", f) for f in df.inputFiles())
+    for path in sorted({m[1] for m in found if m}):
+        if path.split(":", 1)[-1].lstrip("/").startswith(own):
+            remove_path(spark, path)
+
+
 def columns_as_row(df: DataFrame, without: str | None = None) -> F.Column:
     """A struct of df's columns by position, so that their names can't clash with an operator's own."""
     return F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns) if c != without], F.lit(0).alias("none"))

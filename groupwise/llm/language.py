@@ -10,7 +10,8 @@ More than MAX_LANGUAGES labelled languages raise ValueError, none is thinned or
 
 Defined results: a text that is null or has no letter is `und` with score 0, and so is every
 text when there is no labelled row; held_out is false and nothing is learned where the id is
-null; rows may repeat, each is predicted by itself; other columns are ignored.
+null; rows may repeat, each is predicted by itself; of languages with equal proportions the first by
+name is predicted; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from groupwise.llm.common import discard, materialise
+from groupwise.llm.common import columns_as_row, discard, materialise, row_as_columns
 
 BINS = 1 << 13
 PER_LANGUAGE, MAX_LANGUAGES = 400, 200
@@ -136,14 +138,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return names, table / table.sum(0)
 
 
-def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score), or the columns in `keep` beside lang_pred and score."""
+def _judged(docs: DataFrame, lead: F.Column, id_col: str, text_col: str, lang_col: str, text: bool) -> DataFrame:
+    """(row, lang_pred, score) of every row, and its text if asked for; lead: the struct `row`."""
     names, table = train(docs, id_col, text_col, lang_col)
     model = docs.sparkSession.sparkContext.broadcast((names, table))
-    crc = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3))
-    lead = [F.col(c) for c in keep] if keep is not None else [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(crc == 1, F.lit(False)).alias("held_out")]
-    taken = docs.select(*lead, F.col(text_col).alias("__text"))
-    schema = taken.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    taken = docs.select(lead.alias("row"), F.col(f"`{text_col}`").alias("text"))
+    kept = taken if text else taken.select("row")
+    schema = T.StructType([*kept.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = model.value
@@ -158,16 +159,30 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 held.clear()
                 where.clear()
 
-            for i, text in enumerate(b.column(b.num_columns - 1)):
-                t = text.as_py()
-                if names and has_letter(t) and len((found := bins_of(t))[0]):
-                    held.append(found)
+            for i, found in enumerate(b.column(1)):
+                t = found.as_py()
+                if names and has_letter(t) and len((grams := bins_of(t))[0]):
+                    held.append(grams)
                     where.append(i)
-                    entries += len(found[0])
+                    entries += len(grams[0])
                     if entries * len(names) > ENTRIES:
                         settle()
                         entries = 0
             settle()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(schema) - 2], pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema.names)
 
     return taken.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(doc_id, held_out, lang_pred, score)."""
+    held_out = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1, F.lit(False))
+    lead = F.struct(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"))
+    return _judged(docs, lead, id_col, text_col, lang_col, False).select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
+def determined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a determined language."""
+    judged = _judged(docs, columns_as_row(docs, without=text_col), id_col, text_col, lang_col, True)
+    kept = judged.where(F.col("lang_pred") != UNDETERMINED).select("row", F.col("text").alias(text_col))
+    return kept.select(*row_as_columns(docs.columns, "row", without=text_col))

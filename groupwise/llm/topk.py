@@ -79,12 +79,11 @@ def _vectors(b: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.nd
         yield rows, flat[ends[rows][:, None] + np.arange(dim)]
 
 
-def _blocks(rows: DataFrame, size: int, make, schema: str) -> DataFrame:
+def _blocks(rows: DataFrame, scale: int, size: int, make, schema: str) -> DataFrame:
     """make(uids, ids, quantised vectors) of blocks of at most `size` rows (uid, id, v) of one length.
 
     Rows with components beyond WILD make blocks of their own.
     """
-    scale = rows.scale
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId() << 32, 0
@@ -155,7 +154,6 @@ def search(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 2
     clean = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     exact = materialise(clean.select(F.monotonically_increasing_id().alias("uid"), "id", "v"), "vectors")
     asked = exact.where(F.col("id") % query_every == 0)
-    exact.scale = asked.scale = scale
 
     def approximate(uids: np.ndarray, ids: np.ndarray, values: np.ndarray, wild: bool) -> dict:
         if wild:  # infinite here, so not known to be equal
@@ -170,8 +168,8 @@ def search(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 2
     def query_block(uids: np.ndarray, ids: np.ndarray, values: np.ndarray, wild: bool) -> dict:
         return {"uids": uids.tobytes(), "ids": ids.tobytes(), "data": b"" if wild else values.tobytes()}
 
-    blocks = materialise(_blocks(exact, BLOCK, approximate, "uids binary, ids binary, low binary, width binary, cells binary"), "cells")
-    queries = materialise(_blocks(asked, QUERY_BLOCK, query_block, "uids binary, ids binary, data binary"), "queries")
+    blocks = materialise(_blocks(exact, scale, BLOCK, approximate, "uids binary, ids binary, low binary, width binary, cells binary"), "cells")
+    queries = materialise(_blocks(asked, scale, QUERY_BLOCK, query_block, "uids binary, ids binary, data binary"), "queries")
     n_cells = max(1, -(-blocks.count() // CELL_BLOCKS))
     n_query_cells = max(1, -(-queries.count() // CELL_QUERIES))
     grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
