@@ -1,5 +1,6 @@
 """The pipeline's stages against plain versions, on one small corpus."""
 
+import os
 import random
 from array import array
 from zlib import crc32
@@ -115,6 +116,44 @@ def test_run_gives_the_last_stage(spark, stages):
     assert sorted((r[0], r[1], r[2], r[3]) for r in found.collect()) == sorted(r[:4] for r in out[-1][1])
 
 
+CLASH = ["key", "row", "text_hash", "digest", "lang_pred", "score", "__text", "sig", "component", "spans", "none", "c0", "shingles", "uid"]
+
+
+def test_repeated_rows_and_extra_columns_in_all_stages(spark):
+    """Rows that repeat, null ids and texts, and columns with the names that operators use inside."""
+    r = random.Random(9)
+    say = lambda lang, n: " ".join(r.choices(WORDS[lang], k=n))
+    passage = say("en", 30)
+    rows = [(i, say(("en", "de")[i % 2], 40), ("en", "de")[i % 2], "s", 1) for i in range(80)]
+    rows += [rows[3], rows[3], (None, rows[4][1], "en", None, None), (None, None, None, None, None), (90, None, "en", "s", 0), (90, "", "en", "s", 0), (91, "123", None, "s", 3)]
+    rows += [(92, f"{say('en', 30)} {passage}", "en", "s", 1), (93, f"{passage} {say('en', 30)}", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *[f"{k} as `{c}`" for k, c in enumerate(CLASH)]).repartition(3)
+    more = tuple(range(len(CLASH)))
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, "")
+        assert out.columns == docs.columns, name
+        assert {tuple(x)[5:] for x in out.collect()} == {more}, name
+        if stage is corpus_pipeline.language_id:
+            assert sorted(str(tuple(x)[:5]) for x in out.collect()) == sorted(str(x) for x in rows if x[1] and any(map(str.isalpha, x[1])))
+    left = {}
+    for x in out.collect():
+        left.setdefault(x["doc_id"], []).append(x["text"])
+    assert all(len(v) == 1 for v in left.values()) and None not in left and set(left) == {*range(80), 92, 93}
+    assert left[92][0].endswith(passage) and passage not in left[93][0]
+    pieces = corpus_pipeline.pack(spark, out, "").collect()
+    assert {x["doc_id"] for x in pieces} == set(left)
+
+
+def test_tables_of_the_stages_are_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("groupwise.llm.common.shared_dir", lambda spark: f"file://{tmp_path}/scratch")
+    spark.createDataFrame(corpus(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    left = os.listdir(f"{tmp_path}/scratch/groupwise")
+    assert found.count() > 100 and len(left) == 1 and left[0].startswith("stage3"), left
+    assert os.path.exists(f"{tmp_path}/documents.parquet/_SUCCESS")
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
