@@ -8,10 +8,11 @@ aggregation's partitioning, so that no further shuffle is needed. Values are NA-
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groupwise.functions.na import missing
 from groupwise.spec import GroupSpec
@@ -23,8 +24,8 @@ INTERPOLATIONS = ("linear", "lower", "higher", "nearest", "midpoint")
 class Reduction:
     """op and column; needs: the type asked for; build(v, spec, helpers) gives {suffix: Column}.
 
-    helpers(v, spec) gives {name: Column} to be computed before the aggregation; empty(suffix) is
-    the value of a declared group without rows.
+    helpers(v, spec) gives {name: Column} to be computed before the aggregation; empty is the value
+    of a declared group without rows; typed(kind) gives the reduction for a column of that type.
     """
 
     op: str
@@ -33,6 +34,15 @@ class Reduction:
     build: Callable[[Column, GroupSpec, dict[str, Column]], dict[str, Column]]
     helpers: Callable[[Column, GroupSpec], dict[str, Column]] | None = None
     empty: object = None
+    typed: Callable[[T.DataType], Reduction] | None = None
+
+    def cast(self, kind: str) -> Reduction:
+        """The results as another type; those of float columns are double unless cast back."""
+
+        def build(v, spec, helpers):
+            return {name: c.cast(kind) for name, c in self.build(v, spec, helpers).items()}
+
+        return replace(self, build=build, typed=(lambda t: self.typed(t).cast(kind)) if self.typed else None)
 
 
 def _one(op, column, needs, make, empty=None, helpers=None) -> Reduction:
@@ -68,8 +78,30 @@ def sum_(column: str, min_count: int = 0, exact: int | None = None) -> Reduction
 
 
 def prod(column: str, min_count: int = 0) -> Reduction:
-    """Product as double; NULL with fewer than min_count values."""
-    return _one("prod", column, "numeric", lambda v, s, h: _at_least(v, min_count, F.coalesce(F.product(v.cast("double")), F.lit(1.0))), 1.0 if min_count <= 0 else None)
+    """Product; NULL with fewer than min_count values.
+
+    Of integer columns it is exact, a long, and raises on overflow; of others, and on streams, a double.
+    """
+    plain = _one("prod", column, "numeric", lambda v, s, h: _at_least(v, min_count, F.coalesce(F.product(v.cast("double")), F.lit(1.0))), 1.0 if min_count <= 0 else None)
+    return replace(plain, typed=lambda kind: _whole_prod(column, min_count) if isinstance(kind, T.IntegralType) else plain)
+
+
+def _whole_prod(column: str, min_count: int) -> Reduction:
+    """A product within a long has at most 63 factors other than 0, 1 and -1, so no more are collected."""
+    name = f"__factor_{column}"
+
+    def helpers(v, spec):
+        factor = v.isNotNull() & ~v.isin(0, 1, -1)
+        return {name: F.when(factor, F.row_number().over(spec.group().orderBy(factor.desc())))}
+
+    def make(v, spec, h):
+        factors = F.collect_list(F.when(h[name] <= 64, v.cast("long")))
+        sign = (1 - 2 * (F.count_if(v == -1) % 2)).cast("long")
+        product = F.aggregate(factors, sign, lambda a, x: a * x)
+        overflow = F.raise_error(F.lit(f"prod({column}) exceeds a long")).cast("long")
+        return _at_least(v, min_count, F.when(F.count_if(v == 0) > 0, F.lit(0).cast("long")).when(F.count(h[name]) > 63, overflow).otherwise(product))
+
+    return _one("prod", column, "numeric", make, 1 if min_count <= 0 else None, helpers)
 
 
 def mean(column: str) -> Reduction:

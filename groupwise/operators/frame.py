@@ -14,6 +14,16 @@ from groupwise.spec import GroupSpec
 from groupwise.types import require
 
 
+def _distinct(names: Sequence[str], expected: int | None = None) -> None:
+    """Raise ValueError unless the names differ, whatever their case."""
+    seen: dict[str, int] = {}
+    for n in names:
+        seen[n.lower()] = seen.get(n.lower(), 0) + 1
+    twice = [n for n, k in seen.items() if k > 1]
+    if twice or len(seen) < (expected or 0):
+        raise ValueError(f"columns of one name: {', '.join(twice) or 'results'}")
+
+
 class GroupedFrame:
     """df grouped by keys; see GroupSpec for the parameters."""
 
@@ -31,7 +41,11 @@ class GroupedFrame:
         return normalize(op.column, kind)
 
     def agg(self, **reductions: Reduction) -> DataFrame:
-        """A row per group: the keys and a column (or columns) for each named reduction."""
+        """A row per group: the keys and a column (or columns) for each named reduction.
+
+        Raises ValueError where a result has the name of a key or of another result.
+        """
+        reductions = {name: r.typed(self.df.schema[r.column].dataType) if r.typed and r.column in self.df.columns else r for name, r in reductions.items()}
         values = {name: self._value(r) for name, r in reductions.items()}
         rows = self.df.where(self.spec.key_known) if self.spec.dropna else self.df
         helpers: dict[str, Column] = {}
@@ -39,6 +53,7 @@ class GroupedFrame:
             if r.helpers:
                 helpers |= r.helpers(values[name], self.spec)
         if helpers:
+            _distinct([*self.df.columns, *helpers])
             rows = rows.select("*", *[c.alias(n) for n, c in helpers.items()])
         known = {n: F.col(n) for n in helpers}
         columns, empty = [], {}
@@ -46,6 +61,7 @@ class GroupedFrame:
             for suffix, c in r.build(values[name], self.spec, known).items():
                 columns.append(c.alias(name + suffix))
                 empty[name + suffix] = r.empty
+        _distinct([*self.spec.keys, *empty], len(self.spec.keys) + len(columns))
         out = rows.groupBy(*self.spec.keys).agg(*columns)
         return self._declared(out, empty) if self.spec.groups is not None else out
 
@@ -59,8 +75,9 @@ class GroupedFrame:
     def transform(self, **transforms: Transform) -> DataFrame:
         """All rows and columns of df, and a column for each named transform.
 
-        Forward transforms come before backward ones, so that equal window orders are sorted once.
+        Raises ValueError where a transform has the name of a column. Forward transforms come before backward ones, so that equal window orders are sorted once.
         """
+        _distinct([*self.df.columns, *transforms])
         made = sorted(transforms.items(), key=lambda item: item[1].backwards)
         columns = {name: self.spec.visible(t.build(self._value(t), self.spec)) for name, t in made}
         out = self.df.select("*", *[c.alias(n) for n, c in columns.items()])

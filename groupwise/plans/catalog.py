@@ -266,6 +266,88 @@ _register(
 )
 
 
+def _all_positions(s: SparkSession, d: str) -> DataFrame:
+    source = g.with_positions(_orders(s, d).select("o_orderkey", "o_totalprice"), "o_orderkey")
+    n = _orders(s, d).count()
+    return g.take(source, _orders(s, d).selectExpr("o_orderkey AS out_pos", f"(o_orderkey * 7919) % {n} AS ix"))
+
+
+_register(
+    "take_1d_all_positions",
+    _all_positions,
+    """SELECT i.out_pos, i.ix, s.o_orderkey, s.o_totalprice FROM (SELECT o_orderkey AS out_pos, (o_orderkey * 7919) % (SELECT count(*) FROM orders) AS ix FROM orders) i
+    LEFT JOIN (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) s ON i.ix = s.pos""",
+)
+_reduction(
+    "group_prod_integer", lambda s, d: read_table(s, d, "lineitem"), ["l_orderkey"], "lineitem", "cast(product(l_linenumber + 0.0) AS BIGINT) AS p, CASE WHEN count(*) >= 3 THEN cast(product(l_linenumber + 0.0) AS BIGINT) END AS p3",
+    p=g.prod("l_linenumber"), p3=g.prod("l_linenumber", min_count=3),
+)
+
+
+# Columns of other types: float32, decimal, unsigned and timestamps.
+def _floats(s: SparkSession, d: str) -> DataFrame:
+    return read_table(s, d, "embeddings").selectExpr("label", "vec_id", "embedding[0] AS x", "CASE WHEN vec_id % 4 <> 0 THEN embedding[1] END AS y")
+
+
+def _float_results(s: SparkSession, d: str) -> DataFrame:
+    f = g.grouped(_floats(s, d), "label", "vec_id")
+    out = f.agg(n=g.count("y"), total=g.sum_("x"), mean=g.mean("y"), var=g.var("x"), median=g.median("x"), q=g.quantile("y", 0.3, "higher"), lo=g.min_("y").cast("double"), hi=g.max_("x").cast("double"), head=g.first("y").cast("double"))
+    return _rounded(out, 5)
+
+
+_register(
+    "dtype_float32",
+    _float_results,
+    """SELECT label, count(y) AS n, round(sum(x), 5) AS total, round(avg(y), 5) AS mean, round(var_samp(x), 5) AS var, round(median(x), 5) AS median,
+    round(list_sort(list(y) FILTER (WHERE y IS NOT NULL))[cast(ceil(0.3::double * (count(y) - 1)) AS INT) + 1], 5) AS q, round(min(y), 5) AS lo, round(max(x), 5) AS hi, round(arg_min(y, vec_id) FILTER (WHERE y IS NOT NULL), 5) AS head
+    FROM (SELECT label, vec_id, cast(embedding[1] AS DOUBLE) AS x, CASE WHEN vec_id % 4 <> 0 THEN cast(embedding[2] AS DOUBLE) END AS y FROM embeddings) GROUP BY label""",
+)
+
+
+def _decimals(s: SparkSession, d: str) -> DataFrame:
+    lines = _lines(s, d).selectExpr("l_orderkey", "cast(q AS DECIMAL(12,2)) AS m")
+    f = g.grouped(lines, "l_orderkey")
+    return f.agg(n=g.count("m"), total=g.sum_("m", min_count=1).cast("double"), mean=g.mean("m"), lo=g.min_("m").cast("double"), hi=g.max_("m").cast("double"), mid=g.median("m").cast("double"))
+
+
+_register(
+    "dtype_decimal",
+    lambda s, d: _rounded(_decimals(s, d)),
+    f"""SELECT l_orderkey, count(m) AS n, round(cast(sum(m) AS DOUBLE), 6) AS total, round(avg(cast(m AS DOUBLE)), 6) AS mean, round(cast(min(m) AS DOUBLE), 6) AS lo,
+    round(cast(max(m) AS DOUBLE), 6) AS hi, round(median(cast(m AS DOUBLE)), 6) AS mid FROM (SELECT *, cast(q AS DECIMAL(12,2)) AS m FROM {LINES}) GROUP BY l_orderkey""",
+)
+BITS = "cast((event_id * 2654435) % 2000000000 - 1000000000 AS INT)"
+
+
+def _unsigned(s: SparkSession, d: str) -> DataFrame:
+    rows = g.read_as(read_table(s, d, "events").selectExpr("event_id", "user_id", f"{BITS} AS u"), u="uint32")
+    f = g.grouped(rows, "user_id", "event_id")
+    return f.agg(total=g.sum_("u"), lo=g.min_("u"), hi=g.max_("u"), tail=g.last("u"))
+
+
+_register(
+    "dtype_unsigned",
+    _unsigned,
+    f"""SELECT user_id, cast(sum(u) AS BIGINT) AS total, min(u) AS lo, max(u) AS hi, arg_max(u, event_id) AS tail
+    FROM (SELECT event_id, user_id, CASE WHEN b < 0 THEN cast(b AS BIGINT) + 4294967296 ELSE cast(b AS BIGINT) END AS u FROM (SELECT *, {BITS} AS b FROM events)) GROUP BY user_id""",
+)
+
+
+def _times(s: SparkSession, d: str) -> DataFrame:
+    rows = read_table(s, d, "events").selectExpr("event_id", "user_id", "CASE WHEN event_id % 5 <> 0 THEN cast(ts AS TIMESTAMP) END AS t")
+    out = g.grouped(rows, "user_id", "event_id").transform(before=g.shift("t"), filled=g.ffill("t"), latest=g.cummax("t"), place=g.rank("t", method="min"))
+    return out.select("event_id", *[F.unix_micros(c).alias(c) for c in ("before", "filled", "latest")], F.col("place").cast("long").alias("place"))
+
+
+_register(
+    "dtype_timestamp",
+    _times,
+    """SELECT event_id, epoch_us(lag(t) OVER o) AS before, epoch_us(last_value(t IGNORE NULLS) OVER w) AS filled, CASE WHEN t IS NOT NULL THEN epoch_us(max(t) OVER w) END AS latest,
+    CASE WHEN t IS NOT NULL THEN rank() OVER (PARTITION BY user_id, t IS NULL ORDER BY t) END AS place FROM (SELECT event_id, user_id, CASE WHEN event_id % 5 <> 0 THEN cast(ts AS TIMESTAMP) END AS t FROM events)
+    WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), o AS (PARTITION BY user_id ORDER BY event_id)""",
+)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Spark types that hold the element types of NumPy-style arrays.
@@ -20,6 +22,25 @@ def widened(name: str) -> T.DataType:
         raise TypeError(f"no Spark type for {name}") from None
 
 
+def read_as(df: DataFrame, **names: str) -> DataFrame:
+    """df with columns as the named array element types.
+
+    A column of a signed type as wide as an unsigned one holds its bits, so negative values stand
+    for the upper half of the unsigned range.
+    """
+    unknown = [c for c in names if c not in df.columns]
+    if unknown:
+        raise ValueError(f"no such columns: {', '.join(unknown)}")
+
+    def column(c: str, name: str) -> Column:
+        kind, value = widened(name), F.col(c).cast(widened(name))
+        if name.startswith("uint") and df.schema[c].dataType == WIDENED[name.removeprefix("u")]:
+            value = F.when(value < 0, value + F.lit(str(1 << int(name.removeprefix("uint")))).cast(kind)).otherwise(value).cast(kind)
+        return value
+
+    return df.withColumns({c: column(c, name) for c, name in names.items()})
+
+
 def is_floating(kind: T.DataType) -> bool:
     return isinstance(kind, (T.FloatType, T.DoubleType))
 

@@ -111,6 +111,58 @@ def test_take(spark):
     assert g.with_positions(two.where("id < 0"), "id").count() == 0
 
 
+def test_integer_products_are_exact(spark):
+    rows = [("a", v) for v in (3_037_000_499, 3_037_000_499, -1, 1, -1)] + [("b", v) for v in (0, 2**40, 2**40)] + [("c", -(2**62)), ("c", 2), ("d", -1), ("e", N), ("f", 2**53 + 1), ("f", -1)]
+    df = spark.createDataFrame(rows, "k string, v bigint").repartition(3)
+    got = g.grouped(df, "k").agg(p=g.prod("v"), q=g.prod("v", min_count=1))
+    assert got.schema["p"].dataType == T.LongType()
+    assert {r["k"]: (r["p"], r["q"]) for r in got.collect()} == {k: (p, N if k == "e" else p) for k, p in {"a": 3_037_000_499**2, "b": 0, "c": -(2**63), "d": -1, "e": 1, "f": -(2**53) - 1}.items()}
+    assert g.grouped(df.where("v <> 0"), "k").agg(p=g.prod("v"))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    for more in ([("x", 2)] * 64, [("x", 2**40)] * 2):
+        with pytest.raises(Exception, match="exceeds a long|overflow"):
+            g.grouped(spark.createDataFrame(more, "k string, v bigint"), "k").agg(p=g.prod("v")).collect()
+    domain = spark.createDataFrame([("a",), ("z",)], "k string")
+    assert by_key(g.grouped(df, "k", groups=domain).agg(p=g.prod("v")), "p")["z"] == 1
+
+
+def test_float_results_are_double_unless_cast_back(spark):
+    df = spark.createDataFrame([("a", 1.5), ("a", 2.25)], "k string, v float")
+    out = g.grouped(df, "k").agg(s=g.sum_("v"), t=g.sum_("v").cast("float"), p=g.prod("v").cast("float"))
+    assert [f.dataType for f in out.schema][1:] == [T.DoubleType(), T.FloatType(), T.FloatType()]
+    assert tuple(out.first()) == ("a", 3.75, 3.75, 3.375)
+
+
+def test_names_that_clash_raise(spark, na):
+    f = g.grouped(na, "k", "id")
+    for make in (lambda: f.transform(v=g.cumsum("v")), lambda: f.transform(ID=g.cumsum("v")), lambda: f.agg(k=g.size()), lambda: f.agg(K=g.size()), lambda: f.agg(x_open=g.size(), x=g.ohlc("v")), lambda: g.with_positions(na, "id", "V")):
+        with pytest.raises(ValueError):
+            make()
+    inner = na.withColumns({"__part": F.lit(1), "__row": F.lit(2), "__n": F.lit(3), "__base": F.lit(4)})
+    assert [tuple(r)[3:] for r in g.with_positions(inner, "id").orderBy("id").collect()] == [(1, 2, 3, 4, k) for k in range(8)]
+
+
+def test_positions_in_many_ranges(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        rows = spark.range(3000).selectExpr("if(id % 3 = 0, null, id % 11) as a", "id").repartition(5)
+        got = [r["id"] for r in g.with_positions(rows, ["a", "id"]).orderBy("pos").collect()]
+        assert got == [r["id"] for r in rows.orderBy("a", "id").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_unsigned_bits(spark):
+    df = spark.createDataFrame([(-1, -1, -1), (5, 6, 7)], "a tinyint, b int, c bigint")
+    out = g.read_as(df, a="uint8", b="uint32", c="uint64")
+    assert [f.dataType for f in out.schema] == [T.ShortType(), T.LongType(), T.DecimalType(20, 0)]
+    assert [tuple(map(int, r)) for r in out.orderBy("a").collect()] == [(5, 6, 7), (255, 2**32 - 1, 2**64 - 1)]
+    with pytest.raises(TypeError):
+        g.read_as(df, a="uint7")
+    with pytest.raises(ValueError):
+        g.read_as(df, z="uint8")
+
+
 def test_ranked_reductions_need_one_exchange(na):
     df = g.grouped(na, "k", "id").agg(q=g.quantile("v", 0.3, "lower"), n=g.nth("v", 2), s=g.sum_("v"), f=g.first("v"))
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
