@@ -274,8 +274,11 @@ def _member_filter(members: DataFrame) -> np.ndarray:
     return out
 
 
-def _member_sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
-    """places (doc_id, n, ...) with the shingles of the members, from their texts again."""
+def _member_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """places (doc_id, n, ...) with the texts of the ids; rows of an id with several texts have each of them.
+
+    Texts are shuffled, not their shingles, which don't compress.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(member := _member_filter(places))
     size = 32 * len(member)
 
@@ -283,11 +286,10 @@ def _member_sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
         for b in batches:
             bit = b.column(2).to_numpy()
             b = b.filter(pa.array((bits.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool)))
-            sets = list(shingle_sets((t.as_py() for t in b.column(1)), words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["doc_id", "text"])
 
-    near = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("bit")).where("doc_id is not null")
-    return near.mapInArrow(run, "doc_id long, n long, shingles binary").where("n > 0").join(places, ["doc_id", "n"])
+    near = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("bit")).where("doc_id is not null and text is not null")
+    return near.mapInArrow(run, "doc_id long, text string").join(places, "doc_id")
 
 
 def _blocked(rows: DataFrame, by: list[str], order: list[F.Column]) -> tuple[DataFrame, DataFrame]:
@@ -346,12 +348,12 @@ def forest(ids_left: np.ndarray, ids_right: np.ndarray, linked: np.ndarray) -> l
 
 
 #: What a block gives: links; rows that stand for its components; or its sets, to be compared with those of other blocks.
-BLOCK_OUT = "a long, b long, family long, several boolean, doc_id long, n long, shingles binary, block int, least long, most long, first long, last long, ids binary, sizes binary, data binary"
-_BLOCK_TYPES = [pa.int64()] * 3 + [pa.bool_()] + [pa.int64()] * 2 + [pa.binary(), pa.int32()] + [pa.int64()] * 4 + [pa.binary()] * 3
+BLOCK_OUT = "a long, b long, family long, several boolean, doc_id long, n long, text string, block int, least long, most long, first long, last long, ids binary, sizes binary, data binary"
+_BLOCK_TYPES = [pa.int64()] * 3 + [pa.bool_()] + [pa.int64()] * 2 + [pa.string(), pa.int32()] + [pa.int64()] * 4 + [pa.binary()] * 3
 
 
-def _within(sets: DataFrame, num: int, den: int, send: bool) -> DataFrame:
-    """Links within blocks of sets (doc_id, shingles, family, block, component), and of families with
+def _within(texts: DataFrame, words: int, num: int, den: int, send: bool) -> DataFrame:
+    """Links within blocks of texts (doc_id, n, text, family, block, component), and of families with
     several blocks the rows that stand for the components found or, with `send`, the blocks themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,15 +362,19 @@ def _within(sets: DataFrame, num: int, den: int, send: bool) -> DataFrame:
 
         def settle():
             family, block = held[0][2:4]
-            ids, found = np.array([h[0] for h in held]), [np.frombuffer(h[1], U64) for h in held]
+            sets = list(shingle_sets((h[1] for h in held), words))
+            held[:] = [(*h, s) for h, s in zip(held, sets, strict=True) if len(s) == h[5]]  # an id may have other texts
+            if not held:
+                return
+            ids, found = np.array([h[0] for h in held]), [h[6] for h in held]
             pairs = forest(ids, ids, similar(found, found, num, den)) if len(ids) > 1 else []
             out.extend((a, b, family, block is not None, *[None] * 11) for a, b in pairs)
             if block is not None and send:
                 sizes, parts = np.array([len(s) for s in found], np.int64), [h[4] for h in held]
-                out.append((None, None, family, True, None, None, None, block, int(sizes.min()), int(sizes.max()), min(parts), max(parts), ids.tobytes(), sizes.tobytes(), b"".join(h[1] for h in held)))
+                out.append((None, None, family, True, None, None, None, block, int(sizes.min()), int(sizes.max()), min(parts), max(parts), ids.tobytes(), sizes.tobytes(), b"".join(s.tobytes() for s in found)))
             elif block is not None:
                 linked = {a for a, _ in pairs}  # every row but one of a component
-                out.extend((None, None, family, True, h[0], len(s), h[1], *[None] * 8) for h, s in zip(held, found, strict=True) if h[0] not in linked)
+                out.extend((None, None, family, True, h[0], h[5], h[1], *[None] * 8) for h in held if h[0] not in linked)
             held.clear()
 
         def batch():
@@ -388,7 +394,7 @@ def _within(sets: DataFrame, num: int, den: int, send: bool) -> DataFrame:
         if out:
             yield batch()
 
-    taken = sets.select("doc_id", "shingles", "family", "block", "component")
+    taken = texts.select("doc_id", "text", "family", "block", "component", "n")
     return taken.repartition("family", "block").sortWithinPartitions("family", "block").mapInArrow(run, BLOCK_OUT)
 
 
@@ -436,13 +442,13 @@ def _links(texts: DataFrame, members: DataFrame, words: int, num: int, den: int)
     none = F.lit(None).cast("long").alias("component")
     places, read = _blocked(members, ["n"], [F.col("n")])
     places = materialise(places, "places")
-    first = materialise(_within(_member_sets(texts, places, words).select("*", none), num, den, False), "within")
+    first = materialise(_within(_member_texts(texts, places).select("*", none), words, num, den, False), "within")
     discard(read)
     found, waste = [first], [places, first]
-    stand = first.where("doc_id is not null").select("doc_id", "n", "family", "shingles")
+    stand = first.where("doc_id is not null").select("doc_id", "n", "family", "text")
     if not stand.isEmpty():
         again, read = _blocked(stand, ["n"], [F.col("n")])
-        second = materialise(_within(again.select("*", none), num, den, False).select("a", "b", "family", "several").where("a is not null"), "standing")
+        second = materialise(_within(again.select("*", none), words, num, den, False).select("a", "b", "family", "several").where("a is not null"), "standing")
         found.append(second)
         large = first.where("several").select("a", "b", "family").unionByName(second.select("a", "b", "family")).where("a is not null")
         label = components(large)
@@ -454,7 +460,7 @@ def _links(texts: DataFrame, members: DataFrame, words: int, num: int, den: int)
         if not open_.isEmpty():
             left, read = _blocked(rows.join(open_, "family", "left_semi"), ["component"], [F.col("least"), F.col("component")])
             left = materialise(left, "left")
-            third = materialise(_within(_member_sets(texts, left, words), num, den, True), "blocks")
+            third = materialise(_within(_member_texts(texts, left), words, num, den, True), "blocks")
             links = _across(third.where("block is not null"), num, den)
             found += [third, links]
             waste += [read, left, third, links]
