@@ -94,6 +94,31 @@ def row_as_columns(names: list[str], row: str, without: str | None = None) -> li
     return [(F.col(f"`{c}`") if c == without else F.col(f"{row}.c{k}")).alias(c) for k, c in enumerate(names)]
 
 
+#: Bits of a filter of ids: eight an id between these bounds; beyond, it lets more rows pass.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+
+
+def split_by_ids(df: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of df whose id may be among ids, rows whose id is not, the filter's table): no row is shuffled.
+
+    A bit for each hash of an id is set in words of 64, a table of at most MOST_BITS / 64 rows, which
+    is broadcast.
+    """
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * ids.count()).bit_length()))
+
+    def bit_of(column: str) -> F.Column:
+        return F.pmod(F.xxhash64(F.col(f"`{column}`").cast("long")), F.lit(size))
+
+    bit = ids.select(bit_of(id_col).alias("bit")).selectExpr("cast(bit div 64 as int) as word", "shiftleft(1L, cast(bit % 64 as int)) as bits")
+    words = materialise(bit.groupBy("word").agg(F.bit_or("bits").alias("bits")), "words")
+    word, bits, at = (f"__{x}_{uuid.uuid4().hex}" for x in ("word", "bits", "at"))
+    marked = df.withColumn(at, bit_of(id_col)).withColumn(word, F.expr(f"cast({at} div 64 as int)"))
+    marked = marked.join(F.broadcast(words.toDF(word, bits)), word, "left")
+    hit = F.expr(f"coalesce(shiftright({bits}, cast({at} % 64 as int)) & 1L, 0L) = 1L")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return marked.where(hit).select(*columns), marked.where(~hit).select(*columns), words
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about `most` bytes of a string column, to bound what is made of one."""
     for b in batches:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groupwise.llm.common import components, discard, materialise, one_by_id
+from groupwise.llm.common import components, discard, materialise, one_by_id, split_by_ids
 from groupwise.llm.shingles import U64, mix, set_hash, shingle_sets
 
 BLOCK, TILE = 256, 8
@@ -48,8 +48,6 @@ BLOCK, TILE = 256, 8
 SMALL, HELD_SMALL = 2048, 512
 #: Signatures that a task holds at once.
 HELD = 1 << 20
-#: Bits of the filter of members: eight a member between these bounds; beyond, it lets more rows pass.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
 
 @lru_cache(maxsize=None)
@@ -263,33 +261,21 @@ def _candidates(docs: DataFrame, sets: DataFrame, words: int, num: int, den: int
     return found
 
 
-def _member_filter(members: DataFrame) -> np.ndarray:
-    """A bit for each hash of a member's id, in a table of at most MOST_BITS bits."""
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * members.count()).bit_length()))
-    bit = members.select(F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("bit"))
-    words = bit.selectExpr("cast(bit div 32 as int) as word", "shiftleft(1L, cast(bit % 32 as int)) as bits").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(size // 32, np.uint32)
-    found = words.toPandas()
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return out
-
-
-def _member_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """places (doc_id, n, ...) with the texts of the ids; rows of an id with several texts have each of them.
+def _member_texts(docs: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """places (doc_id, n, ...) with the texts of the ids, and a table that this reads.
 
-    Texts are shuffled, not their shingles, which don't compress.
+    Rows of an id with several texts have each of them. Texts are shuffled, not their shingles, which
+    don't compress; and only those that a filter of the ids lets pass.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(member := _member_filter(places))
-    size = 32 * len(member)
+    near, _, words = split_by_ids(docs.where("doc_id is not null and text is not null").select("doc_id", "text"), places, "doc_id")
+    return near.join(places, "doc_id"), words
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bit = b.column(2).to_numpy()
-            b = b.filter(pa.array((bits.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool)))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], ["doc_id", "text"])
 
-    near = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("bit")).where("doc_id is not null and text is not null")
-    return near.mapInArrow(run, "doc_id long, text string").join(places, "doc_id")
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not in ids (long, not null); only rows that a filter finds possible are shuffled."""
+    possible, kept, _ = split_by_ids(docs, ids, id_col)
+    gone = ids.select(F.col(id_col).alias(id_col)).distinct()
+    return kept.unionByName(possible.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def _blocked(rows: DataFrame, by: list[str], order: list[F.Column]) -> tuple[DataFrame, DataFrame]:
@@ -442,8 +428,9 @@ def _links(texts: DataFrame, members: DataFrame, words: int, num: int, den: int)
     none = F.lit(None).cast("long").alias("component")
     places, read = _blocked(members, ["n"], [F.col("n")])
     places = materialise(places, "places")
-    first = materialise(_within(_member_texts(texts, places).select("*", none), words, num, den, False), "within")
-    discard(read)
+    members, bits = _member_texts(texts, places)
+    first = materialise(_within(members.select("*", none), words, num, den, False), "within")
+    discard(read, bits)
     found, waste = [first], [places, first]
     stand = first.where("doc_id is not null").select("doc_id", "n", "family", "text")
     if not stand.isEmpty():
@@ -460,10 +447,11 @@ def _links(texts: DataFrame, members: DataFrame, words: int, num: int, den: int)
         if not open_.isEmpty():
             left, read = _blocked(rows.join(open_, "family", "left_semi"), ["component"], [F.col("least"), F.col("component")])
             left = materialise(left, "left")
-            third = materialise(_within(_member_texts(texts, left), words, num, den, True), "blocks")
+            members, bits = _member_texts(texts, left)
+            third = materialise(_within(members, words, num, den, True), "blocks")
             links = _across(third.where("block is not null"), num, den)
             found += [third, links]
-            waste += [read, left, third, links]
+            waste += [read, left, bits, third, links]
     out = found[0].where("a is not null").select("a", "b")
     for f in found[1:]:
         out = out.unionByName(f.where("a is not null").select("a", "b"))
