@@ -37,8 +37,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         classes = jaccard_join.classes(docs.select("doc_id", "text"), words=5, num=4, den=5)
-        drop = classes.where("component_id <> doc_id").select("doc_id")
-        return docs.join(drop, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+        return jaccard_join.without(docs, classes.where("component_id <> doc_id").select("doc_id"))
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), columns_as_row(docs).alias("row"))
     found = materialise(jaccard_join.classes(keyed.select("key", "text"), words=5, num=4, den=5, id_col="key").where("n_shingles > 0").toDF("key", "n_shingles", "component"), "rows")
     groups = found.select("key", "component").distinct()
