@@ -4,15 +4,17 @@ Sets of similar sizes share a band. Within a band two sets with a Jaccard simila
 num/den differ in at most k elements. The hashed feature domain is cut into n1 parts, each into n2
 smaller ones; at least one of the n1 parts holds at most k1 of the k differences, so some choice of
 n2 - k1 of its smaller parts is equal in both sets. Every such choice is hashed to a signature:
-similar sets share one, without exception. (n1 has a few parts more than needed. That lets a set
-leave out the signatures of choices that are empty in it, which would be shared by all sets: among
-more than `spare` agreeing parts one is not empty. Sets with more empty parts keep theirs.)
-
-Rows with one signature make a bucket. Those of a small bucket are connected where an exact bound
-allows a link: hashed to cells, two sets differ in at least as many elements as the counts of their
-cells do. Rows of a bucket with more than SMALL are connected through the smallest id, first within
-a task (there from HELD_SMALL on, so that a signature of very many rows leaves one row for each set
-of held signatures) and then over all. Neither way lists pairs. Connected rows form families.
+similar sets share one, without exception. (n1 has `spare` parts more than needed, so more than `spare`
+parts agree. A choice that is empty in a set is shared with a fixed share of all sets, so of its parts
+with empty choices a set leaves out the last `spare`: sets that agree in more share an earlier one.)
+
+Rows with one signature make a bucket. They are connected where an exact bound allows a link: hashed
+to cells, two sets differ in at least as many elements as the counts of their cells do. A bucket with
+more than SMALL rows is dealt to groups by a hash, and each two groups are compared. Only where a task
+holds over HELD_SMALL rows of one signature are they connected through the smallest id, and all the
+others of that signature with them, so that it leaves one row for each set of held signatures.
+Neither way lists pairs. Connected rows form families. Buckets are compared in as many rounds as
+keep a round's rows, each with its cells, below ROUND for a document.
 
 A family's sets are compared exactly, in blocks; a comparison returns a spanning forest of the true
 links. First each block is compared with itself, then one row of each component found stands for it
@@ -44,8 +46,10 @@ from groupwise.llm.common import components, discard, materialise, one_by_id, sp
 from groupwise.llm.shingles import U64, mix, set_hash, shingle_sets
 
 BLOCK, TILE = 256, 8
-#: Rows up to which a bucket's members are compared by their cells; the same among those a task holds.
-SMALL, HELD_SMALL = 2048, 512
+#: Rows of a bucket that one task compares by their cells; rows of a signature that a task connects unseen.
+SMALL, HELD_SMALL = 16384, 512
+#: Rows of buckets compared at once, for each document.
+ROUND = 16
 #: Signatures that a task holds at once.
 HELD = 1 << 20
 
@@ -105,7 +109,9 @@ def band_signatures(s: np.ndarray, mixed: np.ndarray, band: int, params: tuple[i
     value = sums @ choices
     filled = ((np.bincount(cell, minlength=n1 * n2).reshape(n1, n2) > 0) @ (choices > 0)) > 0
     sig = mix(value ^ mix(U64(band << 40) + np.arange(value.size, dtype=U64).reshape(value.shape)))
-    return sig.ravel() if (~filled.all(1)).sum() > spare else sig[filled]
+    some_empty = np.flatnonzero(~filled.all(1))
+    filled[some_empty[: max(0, len(some_empty) - spare)]] = True  # these keep all
+    return sig[filled]
 
 
 def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -151,23 +157,28 @@ def may_link(sizes: list[int], cells: list[bytes], num: int, den: int) -> list[t
     unbounded = next((i for i, c in enumerate(cells) if not c), None)
     if unbounded is not None:  # it may link to any row, so it connects them all
         return [(unbounded, j) for j in range(len(cells)) if j != unbounded]
-    known, out = list(range(len(cells))), []
-    if len(known) < 2:
+    out: list[tuple[int, int]] = []
+    if len(cells) < 2:
         return out
-    least = min(len(cells[i]) for i in known)
-    table = np.stack([np.frombuffer(cells[i], np.uint8).reshape(least, -1).sum(1, dtype=np.int32) for i in known])
-    size = np.array([sizes[i] for i in known], np.int64)
-    rest, queue = np.arange(1, len(known)), [0]
+    least = min(map(len, cells))
+    table = np.stack([np.frombuffer(c, np.uint8).reshape(least, -1).sum(1, dtype=np.int32) for c in cells])
+    if table.max() < 1 << 15:
+        table = table.astype(np.int16)  # differences fit
+    size = np.array(sizes, np.int64)
+    rest, queue = np.arange(1, len(cells)), [0]
+    far, far_size = table[1:], size[1:]  # of the rest
     while len(rest):
         if not queue:
             queue.append(int(rest[0]))
-            rest = rest[1:]
+            rest, far, far_size = rest[1:], far[1:], far_size[1:]
             continue
         k = queue.pop()
-        near = np.abs(table[rest] - table[k]).sum(1) * (den + num) <= (size[rest] + size[k]) * (den - num)
-        out += [(known[k], known[i]) for i in rest[near].tolist()]
-        queue += rest[near].tolist()
-        rest = rest[~near]
+        near = np.abs(far - table[k]).sum(1, dtype=np.int32) * (den + num) <= (far_size + size[k]) * (den - num)
+        if near.any():
+            found = rest[near].tolist()
+            out += [(k, i) for i in found]
+            queue += found
+            rest, far, far_size = rest[~near], far[~near], far_size[~near]
     return out
 
 
@@ -224,10 +235,15 @@ def _candidates(docs: DataFrame, sets: DataFrame, words: int, num: int, den: int
     bucket = Window.partitionBy("sig")
     member = F.when(F.col("b").isNull(), F.col("a"))
     rows = rows.withColumns({"size": F.count(member).over(bucket), "some_large": F.max("large").over(bucket), "least": F.min(member).over(bucket)})
-    star = F.coalesce("b", F.when(F.col("some_large") | (F.col("size") > SMALL), F.col("least")))
-    rows = rows.where("b is not null or size > 1").select("sig", "a", star.alias("b"))
-    # small buckets become lists of members, so that buckets with the same rows are one; the rest are pairs
-    rows = rows.groupBy("sig", "b", F.when(F.col("b").isNotNull(), F.col("a")).alias("a_of_pair")).agg(F.sort_array(F.collect_list(F.when(F.col("b").isNull(), F.col("a")))).alias("members"))
+    star = F.coalesce("b", F.when(F.col("some_large"), F.col("least")))
+    rows = rows.where("b is not null or size > 1").select("sig", "a", star.alias("b"), "size")
+    # a bucket of more than SMALL rows is one for each two of its groups, so that each two rows meet
+    groups = F.ceil(F.col("size") * 2 / SMALL).cast("int")
+    own = F.pmod(F.xxhash64("a", "sig"), groups).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.struct(F.least(g, own).alias("i"), F.greatest(g, own).alias("j")))
+    rows = rows.withColumn("tile", F.explode(F.when(F.col("b").isNull() & (F.col("size") > SMALL), tiles).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))))
+    # buckets become lists of members, so that those with the same rows are one; the rest are pairs
+    rows = rows.groupBy("sig", "tile", "b", F.when(F.col("b").isNotNull(), F.col("a")).alias("a_of_pair")).agg(F.sort_array(F.collect_list(F.when(F.col("b").isNull(), F.col("a")))).alias("members"))
     buckets = materialise(rows.select("members", F.col("a_of_pair").alias("a"), "b").distinct(), "buckets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,10 +270,19 @@ def _candidates(docs: DataFrame, sets: DataFrame, words: int, num: int, den: int
     def emit(out: set) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    small = buckets.where("b is null").select(F.xxhash64("members").alias("sig"), F.explode("members").alias("a")).join(sets.where("set_id is not null").select(F.col("doc_id").alias("a"), "n_shingles", "cells"), "a")
-    small = small.repartition("sig").sortWithinPartitions("sig").select("sig", "a", "n_shingles", "cells").mapInArrow(check, "a long, b long")
-    found = materialise(small.unionByName(buckets.where("a <> b").select("a", "b")).distinct(), "candidates")
-    discard(buckets)
+    met = buckets.where("b is null").select(F.xxhash64("members").alias("sig"), "members")
+    rounds = -(-(met.agg(F.sum(F.size("members"))).first()[0] or 0) // max(1, ROUND * sets.count()))
+    parts = []
+    for k in range(rounds):
+        here = met.where(F.pmod("sig", F.lit(rounds)) == k).select("sig", F.explode("members").alias("a"))
+        here = here.join(sets.where("set_id is not null").select(F.col("doc_id").alias("a"), "n_shingles", "cells"), "a")
+        here = here.repartition("sig").sortWithinPartitions("sig").select("sig", "a", "n_shingles", "cells").mapInArrow(check, "a long, b long")
+        parts.append(materialise(here.distinct(), "alike"))
+    found = buckets.where("a <> b").select("a", "b")
+    for part in parts:
+        found = found.unionByName(part)
+    found = materialise(found.distinct(), "candidates")
+    discard(buckets, *parts)
     return found
 
 

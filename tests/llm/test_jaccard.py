@@ -100,6 +100,29 @@ def test_families_of_many_components(spark, monkeypatch):
         assert 1 < len({f[2] for f in found}) < 140
 
 
+def test_a_signature_of_many_rows_that_do_not_link(spark, monkeypatch):
+    """A bucket above the limit is compared group by group, in rounds; its rows don't become one family."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 10)
+    monkeypatch.setattr(jaccard_join, "ROUND", 2)
+    head = " ".join(f"h{k}" for k in range(100))
+    rows = [(i, head + "".join(f" t{i}x{k}" for k in range(100))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(0, 60, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = jaccard_join._set_rows(df, 1)
+    met = jaccard_join._candidates(df, sets, 1, 4, 5)
+    assert {(r["a"], r["b"]) for r in met.collect()} == {(100 + i, i) for i in range(0, 60, 9)}
+    found = sorted((c["doc_id"], c["n_shingles"], c["component_id"]) for c in jaccard_join.classes(df, 1, 4, 5).collect())
+    assert found == brute.jaccard_classes(rows, 1, 4, 5)
+
+
+def test_sets_share_few_empty_choices():
+    r, params = np.random.default_rng(9), (24, 2, 1, 3)
+    sets = [np.sort(r.integers(0, 1 << 63, 120).astype(np.uint64) << np.uint64(1)) for _ in range(400)]
+    signatures = [set(jaccard_join.band_signatures(s, jaccard_join.mix(s), 3, params).tolist()) for s in sets]
+    shared = sum(len(a & b) for k, a in enumerate(signatures) for b in signatures[:k])
+    assert shared < 0.08 * 400 * 399 / 2
+
+
 def test_blocks_are_cut_by_counts(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 10)
     rows = spark.createDataFrame([(i, 5 + i % 3, i % 4 if i < 400 else 9) for i in range(408)], "doc_id long, n long, family long")
