@@ -17,7 +17,8 @@ minimiser, and where a part still has more (a common line in many texts, with di
 its windows go one by one: each distinct window is aggregated to its smallest document, within
 tasks first; answers that windows common themselves need are joined by broadcast, up to
 COMMON_WINDOWS of them, and neighbours with one answer become one row again. A segment goes into an array only if one of its windows has a hash that
-occurs twice among the segments of that array; what is left out has nothing to compare with.
+occurs twice among SHARD_BYTES of segments; what is left out has nothing to compare with, and an array
+is built when what is left of several such lots fills it.
 
 Each row is bounded by a document or a segment; a suffix array covers about SHARD_BYTES. Texts are
 equal if their 64-bit hash and 128 bits of SHA-256 are; different texts with one 64-bit hash are
@@ -34,10 +35,12 @@ gives no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -280,63 +283,88 @@ def _settled(dealt: DataFrame, width: int) -> DataFrame:
     """(name, seg_hash, at, windows, first) from pieces (shard, name, seg_hash, at, segment, owner)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # distinct segments of whole shards, each with its smallest owner
-        group: dict[tuple, int] = {}
-        lone: list[tuple] = []
-        size, shard = 0, None
-
-        def close_group():
-            """A shard's segments are held for an array, but for a segment without any other."""
-            nonlocal size
-            rows = [(*key, owner) for key, owner in group.items()]
-            group.clear()
-            if len(rows) == 1:
-                lone.append(rows[0])
-            else:
-                held.extend(rows)
-                size += sum(len(r[3]) for r in rows)
-
-        for b in batches:
-            for s, name, seg_hash, at, segment, owner in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if s != shard:
-                    close_group() if group else None
-                    shard = s
+        held: list[pa.RecordBatch] = []  # distinct segments of whole shards, each with its smallest owner
+        rows: list[pa.RecordBatch] = []  # not judged yet; the last shard may go on
+        ready: list[pa.RecordBatch] = []  # those of them that an array is for
+        size = waiting = for_array = 0
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                rows.append(b)
+                waiting += b.column(4).nbytes
+                if waiting < SHARD_BYTES:
+                    continue
+            if not rows:
+                break
+            block = pa.concat_batches(rows)
+            shard = block.column(0).to_numpy()
+            end = len(shard) if b is None else int(np.searchsorted(shard, shard[-1]))
+            rows, waiting = [block.slice(end)], 0
+            if end:
+                lone, several = distinct(block.slice(0, end))
+                if lone.num_rows:
+                    yield alone(lone)
+                at, sizes = 0, pc.binary_length(several.column(4)).to_numpy().cumsum()
+                cuts = np.append(np.flatnonzero(np.diff(several.column(0).to_numpy())) + 1, several.num_rows)  # between shards
+                while at < several.num_rows:
+                    before = int(sizes[at - 1]) if at else 0
+                    full = int(np.searchsorted(sizes, before + SHARD_BYTES - size))
+                    to = int(cuts[min(np.searchsorted(cuts, full, side="right"), len(cuts) - 1)])
+                    held.append(several.slice(at, to - at))
+                    size += int(sizes[to - 1]) - before
+                    at = to
                     if size >= SHARD_BYTES:
-                        yield from settle(held)
+                        rest, some = compared(pa.concat_batches(held))
+                        yield rest
                         held, size = [], 0
-                    if len(lone) >= 20_000:
-                        yield alone(lone)
-                        lone = []
-                key = (name, seg_hash, at, segment)
-                known = group.get(key)
-                if known is None or owner < known:
-                    group[key] = owner
-        if group:
-            close_group()
+                        more = pc.sum(pc.binary_length(some.column(4))).as_py() or 0
+                        if for_array and for_array + more > SHARD_BYTES:
+                            yield settle(pa.concat_batches(ready))
+                            ready, for_array = [], 0
+                        ready.append(some)
+                        for_array += more
         if held:
-            yield from settle(held)
-        if lone:
-            yield alone(lone)
-
-    def alone(lone: list[tuple]) -> pa.RecordBatch:
-        rows = [(name, seg_hash, at, len(segment) - width + 1, owner) for name, seg_hash, at, segment, owner in lone]
-        return _runs(rows)
-
-    def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        some = comparable([h[3] for h in held], width)
-        if not some.all():
-            yield alone([h for h, x in zip(held, some.tolist(), strict=True) if not x])
-        held = [h for h, x in zip(held, some.tolist(), strict=True) if x]
-        if not held:
-            return
-        firsts = shard_first_documents([h[3] for h in held], np.array([h[4] for h in held], np.int64), width)
+            rest, some = compared(pa.concat_batches(held))
+            yield rest
+            ready.append(some)
+        if any(r.num_rows for r in ready):
+            yield settle(pa.concat_batches(ready))
+
+    def distinct(block: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+        """A row for each segment with its smallest owner: those alone in their shard, and the others."""
+        shard, name, seg_hash, at = (block.column(k).to_numpy() for k in range(4))
+        order = np.lexsort((at, seg_hash, name, shard))
+        new = np.zeros(len(order), bool)
+        new[0] = True
+        for c in (shard, name, seg_hash, at):
+            c = c[order]
+            new[1:] |= c[1:] != c[:-1]
+        begin = np.flatnonzero(new)
+        least = np.minimum.reduceat(block.column(5).to_numpy()[order], begin)
+        one = block.take(pa.array(order[begin])).set_column(5, "owner", pa.array(least))
+        shard = shard[order[begin]]
+        other = np.append(False, shard[1:] == shard[:-1])
+        other[:-1] |= other[1:]
+        return one.filter(pa.array(~other)), one.filter(pa.array(other))
+
+    def alone(rows: pa.RecordBatch) -> pa.RecordBatch:
+        windows = pc.binary_length(rows.column(4)).to_numpy().astype(np.int64) - width + 1
+        return pa.RecordBatch.from_arrays([*(rows.column(k) for k in (1, 2, 3)), pa.array(windows), rows.column(5)], [c.split()[0] for c in FIRST.split(", ")])
+
+    def compared(held: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+        """The answers of segments without a window that occurs twice, and the other segments."""
+        some = comparable(held.column(4).to_pylist(), width)
+        return alone(held.filter(pa.array(~some))), held.filter(pa.array(some))
+
+    def settle(held: pa.RecordBatch) -> pa.RecordBatch:
+        firsts = shard_first_documents(held.column(4).to_pylist(), held.column(5).to_numpy(), width)
         first = np.concatenate(firsts)
-        own = np.repeat(np.arange(len(held)), [len(f) for f in firsts])
-        at = np.concatenate([np.arange(len(f)) for f in firsts])
+        sizes = np.array([len(f) for f in firsts])
+        own = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(first)) - np.repeat(sizes.cumsum() - sizes, sizes)
         start = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (own[1:] != own[:-1])))
-        name, seg_hash, offset = (np.array([h[k] for h in held], np.int64)[own[start]] for k in range(3))
+        name, seg_hash, offset = (held.column(k).to_numpy()[own[start]] for k in (1, 2, 3))
         length = np.diff(np.append(start, len(first)))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (name, seg_hash, offset + at[start], length, first[start])], [c.split()[0] for c in FIRST.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (name, seg_hash, offset + at[start], length, first[start])], [c.split()[0] for c in FIRST.split(", ")])
 
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, FIRST)
 

@@ -97,6 +97,39 @@ def test_texts_in_small_slices(spark, monkeypatch):
     assert [tuple(map(int, r)) for at, own, *more in suffix_dedup.named_runs(texts, 50) for r in zip(own + at, *more)] == whole
 
 
+def test_arrays_are_filled_with_what_is_comparable(monkeypatch):
+    """Shards over many batches: lone segments and those without a common window take no room in an array."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 20_000)
+    r, found, built = random.Random(4), {}, []
+
+    class Dealt:
+        repartition = sortWithinPartitions = lambda self, *_: self
+
+        def mapInArrow(self, run, _):
+            found["run"] = run
+
+    build = suffix_dedup.shard_first_documents
+    monkeypatch.setattr(suffix_dedup, "shard_first_documents", lambda s, *a: built.append(sum(map(len, s))) or build(s, *a))
+    rows = []
+    for shard in range(1000):
+        made = [r.randbytes(r.randint(50, 90)) for _ in range(1 + shard % 3)]
+        if shard % 50 == 1:
+            made.append(b"+" + made[0] + b"+")
+        rows += [(shard, shard, k, 0, m, 10 * k + o) for k, m in enumerate(made) for o in (7, 3, 5)]
+    suffix_dedup._settled(Dealt(), 50)
+    batches = [suffix_dedup._pieces(rows[k : k + 37]) for k in range(0, len(rows), 37)]
+    first = {}
+    for b in found["run"](iter(batches)):
+        for name, seg_hash, at, windows, owner in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            first.update({(name, seg_hash, at + k): owner for k in range(windows)})
+    least = {}
+    for shard, _, k, _, m, owner in rows:
+        for at in range(len(m) - 49):
+            least[shard, m[at : at + 50]] = min(owner, least.get((shard, m[at : at + 50]), owner))
+    assert first == {(shard, k, at): least[shard, m[at : at + 50]] for shard, _, k, _, m, _ in rows for at in range(len(m) - 49)}
+    assert len(built) == 1
+
+
 def test_comparable_segments_have_a_window_twice():
     r = random.Random(2)
     segments = [("".join(r.choices("ab", k=r.randint(8, 14)))).encode() for _ in range(40)]
